@@ -410,7 +410,7 @@ def _table(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = Data(spark, sf_dir)
         inputs = d.inputs()
-        return catalogue(extract(d.frontier, inputs, staged=False), inputs)[name].drop("updated_at")
+        return catalogue(extract(d.frontier, inputs), inputs)[name].drop("updated_at")
     QUERIES[name] = run
 
 

@@ -39,10 +39,13 @@ def first_per_url(frontier: DataFrame) -> DataFrame:
     return first.select("f.parent_url", "url", "f.source", "f.from_queue")
 
 
-def known_urls_anti(frontier: DataFrame, tab_url: DataFrame) -> DataFrame:
-    """Leave out URLs that are stored already."""
-    return hot_key_join(frontier, tab_url.select("url"), "url", "left_anti").select(
-        *frontier.columns)
+def known_urls_anti(frontier: DataFrame, tab_url: DataFrame,
+                    one_per_url: bool = False) -> DataFrame:
+    """Leave out URLs that are stored already. `one_per_url`: the frontier repeats no URL."""
+    known = tab_url.select("url")
+    if one_per_url:
+        return frontier.join(known, "url", "left_anti").select(*frontier.columns)
+    return hot_key_join(frontier, known, "url", "left_anti").select(*frontier.columns)
 
 
 def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,

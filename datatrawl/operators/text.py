@@ -96,12 +96,15 @@ def gazetteer_lookup(docs: DataFrame, gazetteer: DataFrame, lengths: list[int] |
         return F.transform(begins, run)
 
     runs = F.flatten(F.array(*(runs_of(n) for n in lengths)))
-    rows = laid_out.select("doc_id", F.explode_outer(runs).alias("c"))
-    texts = rows.filter(F.col("c").isNotNull()).select("doc_id", (F.col("c.start") + F.length("c.run")).alias("end"),
-                        tx.without_leading_gap(F.col("c.run")).alias("text"))
+    rows = laid_out.select("doc_id", "block_end", F.explode_outer(runs).alias("c"))
+    texts = rows.filter(F.col("c").isNotNull()).select(
+        "doc_id", "block_end", (F.col("c.start") + F.length("c.run")).alias("end"),
+        tx.without_leading_gap(F.col("c.run")).alias("text"))
+    # The gap at a block's end goes with the word behind it, which belongs to the next block.
     spans = texts.select(
-        "doc_id", (F.col("end") - F.length("text")).alias("start"), "end", "text",
-        _blanks_as_one(F.col("text")).alias("_phrase"))
+        "doc_id", "block_end", (F.col("end") - F.length("text")).alias("start"), "end", "text",
+        _blanks_as_one(F.col("text")).alias("_phrase")
+    ).filter(F.col("start") < F.col("block_end")).drop("block_end")
     phrases = gazetteer.select(
         _phrase_key("phrase").alias("_phrase"), "major_type").distinct()
     hits = salted_join(spans, phrases, "_phrase").select(

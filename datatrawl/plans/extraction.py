@@ -31,11 +31,11 @@ class Pass:
 def one_pass(frontier: DataFrame, inputs: Inputs, keep=_as_is) -> Pass:
     """Known URLs go first, then pages are read once, and the route is decided by data links.
 
-    Texts are not touched here, so no page that is dropped or expanded costs language work.
+    No language work is done here, so pages that are dropped or expanded cost none.
     `keep` is applied where a result is used more than once; pass `stage` to write it.
     """
     rows = fr.first_per_url(frontier)
-    unknown = fr.known_urls_anti(rows, inputs.tab_url)
+    unknown = fr.known_urls_anti(rows, inputs.tab_url, one_per_url=True)
     fetched = page_scan(unknown.select("url"), inputs.pages)
     features = keep(page_features(fetched))
     downloads = keep(download_links(feature_links(features), inputs.link_probes))
@@ -56,7 +56,7 @@ def extract(frontier: DataFrame, inputs: Inputs, staged: bool = True) -> Pass:
         seeds.select("page_id"), "page_id", "left_semi"))
     sub_pages = fr.expand_one_hop(seeds, seed_links, inputs.pages)
     fresh = sub_pages.join(frontier.select("url").distinct(), "url", "left_anti")
-    second = one_pass(fresh.select(*sub_pages.columns), inputs, keep)
+    second = one_pass(keep(fresh.select(*sub_pages.columns)), inputs, keep)
     routed = first.routed.unionByName(second.routed)
     stored = routed.filter(F.col("outcome") == "store").select("page_id")
     features = first.features.unionByName(second.features).join(stored, "page_id", "left_semi")
