@@ -79,32 +79,32 @@ def gazetteer_lookup(docs: DataFrame, gazetteer: DataFrame, lengths: list[int] |
         return spans_schema_source.limit(0).selectExpr(
             "doc_id", "cast(0 as bigint) start", "cast(0 as bigint) `end`",
             "cast(null as string) text", "cast(null as string) major_type")
-    blocks = tx.text_blocks(docs, tx.WORD_BLOCKS, look_ahead=lengths[-1] - 1)
-    pieces = F.regexp_extract_all(
-        F.concat("block", "ahead"), F.lit(f"({tx.WORD_PIECES})"), 1)
+    longest = lengths[-1]
+    blocks = tx.text_blocks(docs, tx.WORD_BLOCKS, look_ahead=longest - 1)
+    next_words = F.regexp_extract("ahead", rf"^(?:{tx.WORD_PIECES}){{0,{longest - 1}}}", 0)
+    pieces = F.regexp_extract_all(F.concat("block", next_words), F.lit(f"({tx.WORD_PIECES})"), 1)
     blocks = blocks.withColumn("block_end", F.col("block_start") + F.length("block"))
     laid_out = tx.with_offsets(
         blocks, ["doc_id", "block_end"], pieces, F.col("block_start"), "words")
-
-    def runs_of(n: int):
-        """Every n words that begin within the block, with the gap before them."""
-        def run(word, i):
-            words = F.transform(F.slice("words", i + 1, n), lambda w: w["text"])
-            return F.struct((word["start"]).alias("start"), F.array_join(words, "").alias("run"))
-        begins = F.filter("words", lambda w, i: (w["start"] < F.col("block_end"))
-                          & (i + n <= F.size("words")))
-        return F.transform(begins, run)
-
-    runs = F.flatten(F.array(*(runs_of(n) for n in lengths)))
-    rows = laid_out.select("doc_id", "block_end", F.explode_outer(runs).alias("c"))
-    texts = rows.filter(F.col("c").isNotNull()).select(
-        "doc_id", "block_end", (F.col("c.start") + F.length("c.run")).alias("end"),
-        tx.without_leading_gap(F.col("c.run")).alias("text"))
+    texts = laid_out.select("doc_id", "block_end", F.col("words.start").alias("starts"),
+                            F.col("words.text").alias("texts"))
+    # Each word beside the ones behind it; there are none behind the last.
+    shifted = [F.slice("texts", F.lit(k + 1), F.size("texts")).alias(f"t{k}")
+               for k in range(longest)]
+    rows = texts.select("doc_id", "block_end", F.explode_outer(
+        F.arrays_zip(F.col("starts").alias("at"), *shifted)).alias("w"))
+    words = rows.filter(F.col("w").isNotNull()).select(
+        "doc_id", "block_end", (F.col("w.at") + F.length("w.t0")).alias("first_end"),
+        tx.without_leading_gap(F.col("w.t0")).alias("t0"),
+        *(F.col(f"w.t{k}").alias(f"t{k}") for k in range(1, longest))
+    ).withColumn("start", F.col("first_end") - F.length("t0"))
     # The gap at a block's end goes with the word behind it, which belongs to the next block.
-    spans = texts.select(
-        "doc_id", "block_end", (F.col("end") - F.length("text")).alias("start"), "end", "text",
-        _blanks_as_one(F.col("text")).alias("_phrase")
-    ).filter(F.col("start") < F.col("block_end")).drop("block_end")
+    words = words.filter(F.col("start") < F.col("block_end"))
+    runs = F.array(*(F.concat(*(f"t{k}" for k in range(n))) for n in lengths))
+    spans = words.select("doc_id", "start", F.explode(runs).alias("text")).filter(
+        F.col("text").isNotNull()).select(
+        "doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text",
+        _blanks_as_one(F.col("text")).alias("_phrase"))
     phrases = gazetteer.select(
         _phrase_key("phrase").alias("_phrase"), "major_type").distinct()
     hits = salted_join(spans, phrases, "_phrase").select(
