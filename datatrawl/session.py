@@ -28,14 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session, where driver and executors share a disk, may fall back to its own.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="datatrawl-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="datatrawl-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

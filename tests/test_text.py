@@ -1,0 +1,89 @@
+import random
+import re
+
+from datatrawl.operators import text as tx
+from datatrawl.operators.authors import publisher_orgs
+from datatrawl.operators.overlap import overlap_join
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def texts():
+    rng = random.Random(7)
+    alphabet = "ab1é .,!?\n\t-"
+    made = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (0, 1, 5, 499, 500, 501, 502, 3000)]
+    return made + ["x" * 2500 + " end", "-" * 3000, "- a " * 900, " " * 700 + "a" + " " * 700 + "b", "Ünï 中文。x"]
+
+
+def test_tokens_against_a_plain_scan(spark):
+    all_texts = texts()
+    got = sorted(tuple(r) for r in tx.tokens(docs(spark, *all_texts)).collect())
+    want = sorted((i, m.start(), m.end(), m.group()) for i, t in enumerate(all_texts)
+                  for m in re.finditer(r"[^\W_]+", t))
+    assert got == want
+
+
+def test_sentences_against_a_plain_scan(spark):
+    all_texts = texts()
+    got = sorted(tuple(r) for r in tx.sentences(docs(spark, *all_texts)).collect())
+    want = sorted((i, m.start(), m.end(), m.group()) for i, t in enumerate(all_texts)
+                  for m in re.finditer(r"[^.!?]*[.!?]+[ \t\r\n\f]*|[^.!?]+\Z", t))
+    assert got == want
+
+
+def test_phrases_against_a_plain_scan(spark):
+    """Phrases over block borders are found, once, and the longest wins."""
+    rng = random.Random(3)
+    words = ["ab", "cd", "ef", "gh"]
+    long_text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", ", "]) for _ in range(4000))
+    gazetteer = spark.createDataFrame(
+        [("ab cd", "x"), ("ab cd ef gh", "x"), ("(gh)", "y"), ("ef, gh", "z")],
+        "phrase string, major_type string")
+    got = sorted((r.start, r.end, r.major_type) for r in
+                 tx.gazetteer_lookup(docs(spark, long_text), gazetteer).collect())
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\w+", long_text)]
+    phrases = {"ab cd": "x", "ab cd ef gh": "x", "gh": "y", "ef, gh": "z"}
+    want = []
+    for i, (start, _) in enumerate(tokens):
+        hits = [(start, end, phrases[key]) for _, end in tokens[i:i + 4]
+                if (key := re.sub(r"\s+", " ", long_text[start:end])) in phrases]
+        want += hits[-1:]
+    assert got == sorted(want)
+
+
+def test_no_phrases_no_hits(spark):
+    empty = spark.createDataFrame([], "phrase string, major_type string")
+    assert tx.gazetteer_lookup(docs(spark, "a b"), empty).count() == 0
+
+
+def test_organization_by_suffix(spark):
+    rows = tx.suffix_organizations(docs(
+        spark, "We met at Ohio State University, and Acme Data Inc. The Inc is no University")).collect()
+    assert sorted((r.start, r.end, r.text) for r in rows) == [
+        (10, 31, "Ohio State University"), (37, 50, "Acme Data Inc"), (52, 59, "The Inc")]
+
+
+def test_overlap_against_all_pairs(spark):
+    rng = random.Random(5)
+    a = [(rng.randrange(3), s, s + rng.choice([0, 1, 5, 300])) for s in rng.choices(range(900), k=80)]
+    b = [(rng.randrange(3), s, s + rng.choice([1, 40, 900])) for s in rng.choices(range(900), k=80)]
+    left = spark.createDataFrame(a, "doc_id int, start long, `end` long")
+    right = spark.createDataFrame(b, "doc_id int, b_start long, b_end long")
+    got = sorted((r.doc_id, r.start, r.end, r.b_start, r.b_end)
+                 for r in overlap_join(left, right, width=64).collect())
+    want = sorted((d, s, e, s2, e2) for d, s, e in a for d2, s2, e2 in b
+                  if d == d2 and s < e and s < e2 and s2 < e)
+    assert got == want
+
+
+def test_publishers_need_the_effective_root(spark):
+    d = docs(spark, "Made by A B Inc. We create C D Inc maps. They publish E F Inc maps.")
+    lemmas = spark.createDataFrame([("creates", "create")], "form string, root string")
+    rooted = tx.token_roots(tx.tokens(d), lemmas)
+    orgs = tx.suffix_organizations(d)
+    sents = tx.sentences(d)
+    assert {r.author for r in publisher_orgs(sents, rooted, orgs).collect()} == {"C D Inc"}
+    both = publisher_orgs(sents, rooted, orgs, roots=("create", "publish")).collect()
+    assert {r.author for r in both} == {"C D Inc", "E F Inc"}
