@@ -18,10 +18,11 @@ from datatrawl.operators import text as tx
 from datatrawl.operators import tree as tr
 from datatrawl.operators.authors import authors, publisher_orgs, title_orgs
 from datatrawl.operators.overlap import as_b, overlap_join
-from datatrawl.plans.catalogue import catalogue
+from datatrawl.plans.catalogue import Catalogue
 from datatrawl.plans.extraction import extract
 from datatrawl.plans.inputs import Inputs
 from datatrawl.plans.page_record import page_records
+from datatrawl.session import stage
 from datatrawl.sources import pages as pg
 from datatrawl.sources import search as se
 from datatrawl.sources import seeds as sd
@@ -221,7 +222,7 @@ def nodes_containing(d: Data) -> DataFrame:
 
 @query
 def scope_nodes(d: Data) -> DataFrame:
-    nodes = tr.html_tree(d.pages_gis)
+    nodes = stage(tr.html_tree(d.pages_gis))
     downloads = nodes.filter(u.ends_with_download_suffix(F.col("attrs")["href"]))
     return tr.scope_nodes(nodes, downloads)
 
@@ -294,7 +295,7 @@ QUERIES["title_orgs"] = QUERIES.pop("in_titles")
 
 @query
 def page_authors(d: Data) -> DataFrame:
-    return authors(mk.page_documents(d.pages_org), d.org_gazetteer, d.lemmas)
+    return authors(mk.page_documents(d.pages_org), d.org_gazetteer, d.lemmas, keep=stage)
 
 
 QUERIES["authors"] = QUERIES.pop("page_authors")
@@ -330,7 +331,7 @@ def link_bridge(d: Data) -> DataFrame:
 
 def _link_metadata(d: Data, match_on: str) -> DataFrame:
     pages = d.pages_gis
-    return md.link_metadata(_downloads(d), tr.html_tree(pages), pages, match_on)
+    return md.link_metadata(_downloads(d), stage(tr.html_tree(pages)), pages, match_on)
 
 
 @query
@@ -410,7 +411,8 @@ def _table(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = Data(spark, sf_dir)
         inputs = d.inputs()
-        return catalogue(extract(d.frontier, inputs), inputs)[name].drop("updated_at")
+        batch = Catalogue(extract(d.frontier, inputs), inputs, keep=stage)
+        return batch.table(name).drop("updated_at")
     QUERIES[name] = run
 
 
@@ -427,7 +429,7 @@ def metadata_files(d: Data) -> DataFrame:
 
 @query
 def page_record(d: Data) -> DataFrame:
-    records = page_records(d.pages_org, d.inputs())
+    records = page_records(d.pages_org, d.inputs(), keep=stage)
     sets = ("titles", "authors", "formats", "links", "extents")
     return records.select("page_id", "url", "abstract",
                           *(F.array_join(s, "|").alias(s) for s in sets))

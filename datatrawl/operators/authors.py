@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +33,14 @@ def title_orgs(docs: DataFrame, orgs: DataFrame) -> DataFrame:
 
 def authors(docs: DataFrame, gazetteer: DataFrame, lemmas: DataFrame,
             roots: Iterable[str] = fixed.PUBLISH_ROOTS, include_all: bool = False,
-            lengths: list[int] | None = None) -> DataFrame:
+            lengths: list[int] | None = None,
+            keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Title organizations, then publishing ones: doc_id, author, rank (0, 1; 2 for all others).
 
-    Only documents in which an organization was found are cut in tokens and sentences.
+    Only documents in which an organization was found are cut in tokens and sentences. `keep` is
+    applied to the organizations, which are used in several places, and may write them.
     """
-    orgs = text.organizations(docs, gazetteer, lengths)
+    orgs = keep(text.organizations(docs, gazetteer, lengths))
     holders = docs.join(orgs.select("doc_id").distinct(), "doc_id", "left_semi")
     rooted = text.token_roots(text.tokens(holders), lemmas)
     found = title_orgs(docs, orgs).withColumn("rank", F.lit(0)).unionByName(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -72,18 +73,20 @@ def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
 
 
 def expand_one_hop(seeds: DataFrame, links: DataFrame, pages: DataFrame,
-                   exact_host: bool = False) -> DataFrame:
+                   exact_host: bool = False,
+                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Sub-pages of the seeds: same-site pages, no media, that their links lead to.
 
     `seeds` has frontier columns and page_id, `links` page_id and href. The seed itself is no
-    sub-page of its own. Filters run before anything is shuffled but the seeds.
+    sub-page of its own. Filters run before anything is shuffled but the seeds. `keep` is applied
+    to the wanted URLs before their pages are looked up, and may write them.
     """
     parents = seeds.select("page_id", F.col("url").alias("seed_url"), "source")
     targets = parents.join(links.select("page_id", "href"), "page_id").select(
         "seed_url", "source",
         u.resolve_link(F.col("seed_url"), F.col("href"), rfc3986=True).alias("url"))
-    wanted = not_media(same_site(targets, exact_host)).filter(
-        F.col("url") != F.col("seed_url")).distinct()
+    wanted = keep(not_media(same_site(targets, exact_host)).filter(
+        F.col("url") != F.col("seed_url")).distinct())
     found = hot_key_join(wanted, pages.select("url"), "url", "left_semi")
     return found.select(
         F.col("seed_url").alias("parent_url"), "url", "source", F.lit(False).alias("from_queue"))

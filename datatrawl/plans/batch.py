@@ -6,10 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from datatrawl.plans.catalogue import catalogue
+from datatrawl.plans.catalogue import Catalogue
 from datatrawl.plans.extraction import extract
 from datatrawl.plans.inputs import Inputs
 from datatrawl.plans.store import Store
+from datatrawl.session import stage
 
 
 def run_batch(store: Store, batch_id: int, frontier: DataFrame, inputs: Inputs,
@@ -25,5 +26,5 @@ def run_batch(store: Store, batch_id: int, frontier: DataFrame, inputs: Inputs,
         "tab_abstract", "tab_format", "tab_authors", "tab_title", "tab_spatialextent")}
     inputs = replace(inputs, tab_url=store.table("tab_url", batch_id).drop("batch_id"),
                      tab_links=store.table("tab_links", batch_id).drop("batch_id"))
-    tables = catalogue(extract(frontier, inputs), inputs, last, match_on)
-    return store.commit_batch(batch_id, tables)
+    batch = Catalogue(extract(frontier, inputs), inputs, last, match_on, keep=stage)
+    return store.commit_batch(batch_id, batch.tables())

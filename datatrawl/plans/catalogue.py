@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,6 @@ def _shaped(df: DataFrame, table: str) -> DataFrame:
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in columns))
 
 
-def _entities(values: DataFrame, page_ids: DataFrame, table: str, column: str,
-              so_far: DataFrame | None) -> DataFrame:
-    """A row per page and value, with an id of its own."""
-    rows = values.join(page_ids, "page_id").select("url_id", column)
-    after = None if so_far is None else highest_id(so_far)
-    return _shaped(dense_ids(rows, ["url_id", column], after), table)
-
-
 def page_extents(features: DataFrame, inputs: Inputs) -> DataFrame:
     """Spatial extents from the metadata page of each page: page_id, extent."""
     wanted = ln.metadata_page(feature_links(features), inputs.link_probes)
@@ -40,9 +35,9 @@ def page_extents(features: DataFrame, inputs: Inputs) -> DataFrame:
     return wanted.join(md.spatial_extent(asked), "url").select("page_id", "extent").distinct()
 
 
-def page_authors(features: DataFrame, inputs: Inputs) -> DataFrame:
+def page_authors(features: DataFrame, inputs: Inputs, keep=lambda df: df) -> DataFrame:
     found = authors(feature_documents(features), inputs.gazetteer, inputs.lemmas,
-                    lengths=inputs.lengths())
+                    lengths=inputs.lengths(), keep=keep)
     return found.select(F.col("doc_id").alias("page_id"), "author", "rank")
 
 
@@ -53,42 +48,75 @@ def link_files(links: DataFrame, metadata: DataFrame, metadata_docs: DataFrame)
     return links.join(fetched.select("url", "metadata_url"), "url", "left")
 
 
-def catalogue(found: Pass, inputs: Inputs, last: dict[str, DataFrame] | None = None,
-              match_on: str = "raw") -> dict[str, DataFrame]:
-    """All tables of one batch by name.
+class Catalogue:
+    """The tables of one batch, each worked out when it is asked for.
 
-    `last` may hold the stored tables whose ids go on; without one, ids begin at 1.
+    `last` may hold the stored tables whose ids go on; without one, ids begin at 1. `keep` is
+    applied to what several tables or several steps of one table use: ids of URLs and links,
+    and the element tree. Pass `stage` to write these, so that a page is parsed once.
     """
-    last = last or {}
-    stored = found.routed.filter(F.col("outcome") == "store")
-    urls = dense_ids(stored.select("page_id", "url", "parent_url", "source"), ["url"],
-                     highest_id(inputs.tab_url))
-    page_ids = urls.select("page_id", F.col("id").alias("url_id"))
-    features, downloads = found.features, found.downloads
-
-    links = ln.assign_link_ids(ln.match_known_links(downloads, inputs.tab_links),
-                               inputs.tab_links)
-    pages = inputs.pages.join(stored.select("page_id"), "page_id", "left_semi")
-    metadata = md.link_metadata(downloads, html_tree(pages), pages, match_on)
-    filed = link_files(links, metadata, inputs.metadata_docs)
-    file_name = F.when(F.col("metadata_url").isNotNull(), u.metadata_file_name(F.col("url")))
-
-    return {
-        "tab_url": _shaped(urls.withColumn("status", F.lit(fixed.FROM_EXTRACTOR)), "tab_url"),
-        "tab_abstract": _entities(features.select("page_id", "abstract"), page_ids,
-                                  "tab_abstract", "abstract", last.get("tab_abstract")),
-        "tab_format": _entities(ln.link_formats(downloads), page_ids,
-                                "tab_format", "format", last.get("tab_format")),
-        "tab_authors": _entities(page_authors(features, inputs), page_ids,
-                                 "tab_authors", "author", last.get("tab_authors")),
-        "tab_title": _entities(features.select("page_id", F.explode_outer("titles").alias("title")),
-                               page_ids, "tab_title", "title", last.get("tab_title")),
-        "tab_spatialextent": _entities(page_extents(features, inputs), page_ids,
-                                       "tab_spatialextent", "extent",
-                                       last.get("tab_spatialextent")),
-        "tab_links": _shaped(ln.new_links_only(filed).withColumn("metadata_file", file_name),
-                             "tab_links"),
-        "tab_url_link_map": _shaped(ln.link_bridge(urls, downloads, links), "tab_url_link_map"),
-        "metadata_files": _shaped(md.save_metadata(filed, inputs.metadata_docs),
-                                  "metadata_files"),
-    }
+
+    def __init__(self, found: Pass, inputs: Inputs, last: dict[str, DataFrame] | None = None,
+                 match_on: str = "raw",
+                 keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        self.found, self.inputs, self.last = found, inputs, last or {}
+        self.match_on, self.keep = match_on, keep
+
+    @cached_property
+    def urls(self) -> DataFrame:
+        stored = self.found.routed.filter(F.col("outcome") == "store")
+        return self.keep(dense_ids(
+            stored.select("page_id", "url", "parent_url", "source"), ["url"],
+            highest_id(self.inputs.tab_url)))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        known = self.inputs.tab_links
+        return self.keep(ln.assign_link_ids(
+            ln.match_known_links(self.found.downloads, known), known))
+
+    @cached_property
+    def filed(self) -> DataFrame:
+        """Links with their metadata."""
+        pages = self.inputs.pages.join(self.urls.select("page_id"), "page_id", "left_semi")
+        nodes = self.keep(html_tree(pages))
+        metadata = md.link_metadata(self.found.downloads, nodes, pages, self.match_on)
+        return self.keep(link_files(self.links, metadata, self.inputs.metadata_docs))
+
+    def _entities(self, values: DataFrame, table: str, column: str) -> DataFrame:
+        """A row per page and value, with an id of its own."""
+        page_ids = self.urls.select("page_id", F.col("id").alias("url_id"))
+        rows = values.join(page_ids, "page_id").select("url_id", column)
+        after = highest_id(self.last[table]) if table in self.last else None
+        return dense_ids(rows, ["url_id", column], after)
+
+    def _rows(self, table: str) -> DataFrame:
+        features, downloads, inputs = self.found.features, self.found.downloads, self.inputs
+        match table:
+            case "tab_url":
+                return self.urls.withColumn("status", F.lit(fixed.FROM_EXTRACTOR))
+            case "tab_abstract":
+                return self._entities(features.select("page_id", "abstract"), table, "abstract")
+            case "tab_format":
+                return self._entities(ln.link_formats(downloads), table, "format")
+            case "tab_authors":
+                return self._entities(page_authors(features, inputs, self.keep), table, "author")
+            case "tab_title":
+                titles = features.select("page_id", F.explode_outer("titles").alias("title"))
+                return self._entities(titles, table, "title")
+            case "tab_spatialextent":
+                return self._entities(page_extents(features, inputs), table, "extent")
+            case "tab_links":
+                name = F.when(F.col("metadata_url").isNotNull(), u.metadata_file_name(F.col("url")))
+                return ln.new_links_only(self.filed).withColumn("metadata_file", name)
+            case "tab_url_link_map":
+                return ln.link_bridge(self.urls, downloads, self.links)
+            case "metadata_files":
+                return md.save_metadata(self.filed, inputs.metadata_docs)
+        raise KeyError(table)
+
+    def table(self, name: str) -> DataFrame:
+        return _shaped(self._rows(name), name)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in schemas.CATALOGUE}

@@ -54,9 +54,9 @@ def extract(frontier: DataFrame, inputs: Inputs, staged: bool = True) -> Pass:
     seeds = first.routed.filter(F.col("outcome") == "expand")
     seed_links = feature_links(first.features.join(
         seeds.select("page_id"), "page_id", "left_semi"))
-    sub_pages = fr.expand_one_hop(seeds, seed_links, inputs.pages)
+    sub_pages = fr.expand_one_hop(seeds, seed_links, inputs.pages, keep=keep)
     fresh = sub_pages.join(frontier.select("url").distinct(), "url", "left_anti")
-    second = one_pass(keep(fresh.select(*sub_pages.columns)), inputs, keep)
+    second = one_pass(fresh.select(*sub_pages.columns), inputs, keep)
     routed = first.routed.unionByName(second.routed)
     stored = routed.filter(F.col("outcome") == "store").select("page_id")
     features = first.features.unionByName(second.features).join(stored, "page_id", "left_semi")

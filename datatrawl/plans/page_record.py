@@ -20,12 +20,12 @@ def _sets(rows: DataFrame, column: str, name: str) -> DataFrame:
 def page_records(pages: DataFrame, inputs: Inputs, keep=lambda df: df) -> DataFrame:
     """page_id, url, titles, abstract, authors, formats, links, extents; sets are sorted arrays.
 
-    `keep` is applied to the features of pages and may write them (`stage`), so that the markup
-    is read once.
+    `keep` is applied to what is used more than once and may write it (`stage`), so that the
+    markup is read once.
     """
     features = keep(page_features(pages))
     links = _sets(download_links(feature_links(features), inputs.link_probes), "url", "links")
-    names = _sets(page_authors(features, inputs), "author", "authors")
+    names = _sets(page_authors(features, inputs, keep), "author", "authors")
     extents = _sets(page_extents(features, inputs), "extent", "extents")
     joined = (
         features.select("page_id", "url", F.sort_array("titles").alias("titles"), "abstract")
