@@ -153,9 +153,9 @@ SELECT url, '<?xml version="1.0"?>' || chr(10) || xml AS xml FROM metadata_docs
 UNION ALL
 SELECT 'https://meta.example.org/w' || CAST(s_suppkey AS STRING) || '.xml' AS url,
   '<gmd:box><!-- box --><gmd:westBound><gco:Decimal>' || CAST(s_suppkey % 180 AS STRING) || '</gco:Decimal></gmd:westBound>'
-  || chr(10) || ' <gmd:eastBound><gco:Decimal>' || CAST(s_suppkey % 170 AS STRING) || '.25</gco:Decimal><gco:nil/></gmd:eastBound>'
+  || chr(10) || ' <gmd:eastBound><gco:Decimal>' || CAST(s_suppkey % 170 AS STRING) || '.25</gco:Decimal></gmd:eastBound>'
   || '<gmd:southBound> <gco:Decimal>1e1</gco:Decimal> </gmd:southBound><gmd:northBound><gco:Decimal>'
-  || CASE WHEN s_suppkey % 3 = 0 THEN '0x1F' ELSE '-12.f' END || '</gco:Decimal></gmd:northBound></gmd:box>' AS xml
+  || CASE WHEN s_suppkey % 3 = 0 THEN '0x1F' ELSE '-12.f' END || '</gco:Decimal><gco:nil/></gmd:northBound></gmd:box>' AS xml
 FROM supplier
 """
 

@@ -94,16 +94,14 @@ def resolve_link(page_url: Column, href: Column, rfc3986: bool = False) -> Colum
         query_only_path = F.concat(F.regexp_replace(base_path, r"/?[^/]*\z", ""), F.lit("/"))
         same_page = F.when(fragment != "", fragment).otherwise(_part(base, 5))
 
+    own_path = absolute | (auth != "") | path.startswith("/")
+    full_path = F.when(own_path, path).otherwise(F.concat(folder, path))
     resolved = (
-        F.when(absolute & hierarchical,
-               _assemble(scheme, auth, _fold_dots(path, rfc3986), tail))
-        .when(absolute, spec)
-        .when(auth != "", _assemble(base_scheme, auth, _fold_dots(path, rfc3986), tail))
-        .when(path.startswith("/"),
-              _assemble(base_scheme, base_auth, _fold_dots(path, rfc3986), tail))
-        .when(path != "",
-              _assemble(base_scheme, base_auth,
-                        _fold_dots(F.concat(folder, path), rfc3986), tail))
+        F.when(absolute & ~hierarchical, spec)
+        .when(own_path | (path != ""), _assemble(
+            F.when(absolute, scheme).otherwise(base_scheme),
+            F.when(absolute | (auth != ""), auth).otherwise(base_auth),
+            _fold_dots(full_path, rfc3986), tail))
         .when(query != "", _assemble(base_scheme, base_auth, query_only_path, tail))
         .otherwise(_assemble(base_scheme, base_auth, base_path,
                              F.concat(_part(base, 4), same_page)))
