@@ -163,14 +163,14 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 ORACLE = r"""
 WITH dw AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(
+  SELECT doc_id, regexp_extract_all(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 iw AS (
-  SELECT item_id, list_filter(regexp_split_to_array(
+  SELECT item_id, regexp_extract_all(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
 grams AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size,

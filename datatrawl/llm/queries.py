@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datatrawl.llm import decontamination
+from datatrawl.llm import decontamination, licenses
 from datatrawl.llm.common import read_table
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
 
