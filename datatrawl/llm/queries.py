@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from datatrawl.llm import decontamination, licenses, packing, tokens
+from datatrawl.llm import decontamination, licenses, packing, tokens, topk
 from datatrawl.llm.common import read_table
 
 
@@ -18,6 +19,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("id") % 50 == 0)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
 
@@ -30,10 +36,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_tokens": op5_tokens,
+    "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_topk": topk.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
