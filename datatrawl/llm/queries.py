@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datatrawl.llm import (
-    decontamination, language, licenses, packing, quality, tokens, topk, toxicity)
+    decontamination, html_text, language, licenses, packing, quality, tokens, topk, toxicity)
 from datatrawl.llm.common import read_table
 
 
@@ -35,6 +35,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit_sample(pages))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("id") % 50 == 0)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op5_tokens": op5_tokens,
+    "op6_html_text": op6_html_text,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
