@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datatrawl.llm import (
-    decontamination, html_text, language, licenses, packing, quality, tokens, topk, toxicity)
+    decontamination, html_text, jaccard, language, licenses, packing, quality, tokens, topk, toxicity)
 from datatrawl.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit_sample(pages))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("id") % 50 == 0)
@@ -61,12 +65,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_tokens": op5_tokens,
     "op6_html_text": op6_html_text,
+    "op7_jaccard": op7_jaccard,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_jaccard": jaccard.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
