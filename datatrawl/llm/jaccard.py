@@ -5,11 +5,11 @@ the smaller coordinates of two points bounds the overlap of their sets, for two
 same holds of their upper corners. That is what the R-tree here prunes by.
 
 The tree's upper part lies in the shuffle: sets that may link differ in at most D shingles, so of
-D + 2 finer groups they share two without a difference. A cell is one such group with its content;
-only points of one cell are compared (see `cell_keys`). Points of a cell are first compared with
-the cell's smallest, which is linear however large the cell is, and joined to components; cells that
-hold several components after that are searched by R-trees for pairs across components, so no two
-members of a group of copies are paired for nothing. Every candidate is verified on the sets.
+more than D finer groups some hold no difference. A cell is one such group with its content; only
+points of one cell are compared (see `cell_keys`). Points of a cell are first compared with one of
+them, which is linear however large the cell is, and joined to components, in a few rounds; cells
+that hold several components after that are searched by R-trees for pairs across components, so no
+two members of a group of copies are paired for nothing. Every candidate is verified on the sets.
 
 Texts with equal sets are one node, told apart by a 64-bit hash of the set.
 """
@@ -33,7 +33,9 @@ from datatrawl.llm.tokens import slices
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
-GROUPS = 32            # coordinates of a point
+NEAR = Fraction(8, 10)  # what near copies on five-word shingles take
+GROUPS = 128           # coordinates of a point
+ROUNDS = 4             # rounds of comparing a cell's points with one of them, before trees
 LEAF = 32              # points of an R-tree leaf
 BLOCK = 2048           # points of a cell that one task searches; larger cells are cut in blocks
 BLOOM_BITS = 1 << 24   # of the filter that the second scan of the texts is thinned with
@@ -108,9 +110,9 @@ def cell_keys(hashes: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     """The cells of one set (sorted hashes): any two linked, unequal sets share one.
 
     The band of the larger set settles the number of groups, so a set that may be the smaller one
-    also goes by the next bands that its partners may lie in. Two linked sets share at least two
-    groups; a shared group is a cell unless it is empty, and as at least one set has two empty
-    groups if both shared ones are, empty groups count where there are two.
+    also goes by the next bands that its partners may lie in. Of D + m groups, two linked sets
+    share m at least; each leaves out its m - 1 smallest groups, which tell little, and the largest
+    that both share is still among the rest: it has m - 1 shared ones before it in either.
     """
     ends, differ = _bands(threshold)
     n = len(hashes)
@@ -121,17 +123,17 @@ def cell_keys(hashes: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     for band in range(low, high + 1):
         if not differ[band]:
             continue   # only equal sets link
-        groups = int(differ[band]) + 2
+        spare = 2 + int(differ[band]) // 3
+        groups = int(differ[band]) + spare
         group = ((hashes >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
         first = np.searchsorted(group, np.arange(groups))
         size = np.diff(np.append(first, n))
         held = np.flatnonzero(size)
         content = np.zeros(groups, np.uint64)
         content[held] = np.add.reduceat(_mix(hashes), first[held])
-        if groups - len(held) >= 2:
-            held = np.arange(groups)
-        name = np.uint64(band) << np.uint64(40) | held.astype(np.uint64)
-        keys.append(_mix(_mix(content[held] + _GOLD) + name * _GOLD))
+        told = np.argsort(size, kind="stable")[spare - 1:]
+        name = np.uint64(band) << np.uint64(40) | told.astype(np.uint64)
+        keys.append(_mix(_mix(content[told] + _GOLD) + name * _GOLD))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -225,7 +227,7 @@ class RTree:
         return np.repeat(mine * LEAF, count) + nth, np.repeat(other, count)
 
 
-def _indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: Fraction) -> DataFrame:
     """`id`, `n`, `node` (null for an empty set), `cells` (of the first of equal sets in a task)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -233,14 +235,14 @@ def _indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for at, run in slices(batch.column("text"), SLICE_BYTES):
-                hashes, offsets = shingle_sets(run)
+                hashes, offsets = shingle_sets(run, shingle)
                 sizes, nodes = np.diff(offsets), node_names(hashes, offsets)
                 cells = []
                 for i, node in enumerate(nodes.tolist()):
                     fresh = sizes[i] and node not in seen
                     if fresh and len(seen) < 1 << 20:
                         seen.add(node)
-                    cells.append(cell_keys(hashes[offsets[i]:offsets[i + 1]]).view(np.int64) if fresh else None)
+                    cells.append(cell_keys(hashes[offsets[i]:offsets[i + 1]], threshold).view(np.int64) if fresh else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, len(run)), pa.array(sizes), pa.array(nodes, mask=sizes == 0),
                      pa.array(cells, pa.list_(pa.int64()))], ["id", "n", "node", "cells"])
@@ -266,7 +268,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """`node`, `point`, `hashes` (bytes) for the nodes of `wanted` (`node`, `id` of one text each).
 
     A second scan of the texts, thinned in the scan by a filter of fixed size; what passes it by
@@ -283,7 +285,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(hit.astype(bool)))
             for _, run in slices(batch.column("text"), SLICE_BYTES):
-                hashes, offsets = shingle_sets(run)
+                hashes, offsets = shingle_sets(run, shingle)
                 at = points(hashes, offsets)
                 data = hashes.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -360,8 +362,26 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, threshold: Fraction, block:
     return work.groupBy("cell", "one", "two").applyInArrow(search, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (`node`, `component`) after components have been joined by `links` (`a`, `b`)."""
+    of = lambda c, d: labels.select(F.col("node").alias(c), F.col("component").alias(d))
+    across = links.join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x <> y").select(
+        F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stage(labels.join(joined, "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """`members` with `component`, of the cells that hold more than one."""
+    labelled = members.join(labels, "node")
+    several = labelled.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
+        "x <> y").select("cell")
+    return stage(labelled.join(several, "cell", "left_semi").select("cell", "node", "component"))
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    threshold: Fraction = THRESHOLD, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """Per row of `docs`: `doc_id`, `n_shingles`, `component_id`.
 
     A component holds what links reach; its id is the smallest `doc_id` in it. Null, empty and
@@ -370,31 +390,38 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with a null `doc_id` link with nothing: their component is that of a text equal to theirs, or
     null. Other columns are not read.
     """
-    kept = stage(_indexed(docs, doc_id, text))
+    kept = stage(_indexed(docs, doc_id, text, shingle, threshold))
     cells = kept.filter("cells is not null and id is not null").select(F.explode("cells").alias("cell"), "node")
-    shared = cells.groupBy("cell").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter(
-        "pivot <> last").select("cell", "pivot")
-    members = stage(cells.join(shared, "cell").distinct())
+    shared = cells.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter(
+        "x <> y").select("cell")
+    members = stage(cells.join(shared, "cell", "left_semi").distinct())
 
     names = kept.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = names.join(members.select("node").distinct(), "node", "left_semi")
-    sets = stage(_sets(docs, stage(wanted), doc_id, text))
-
-    stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_verified(_bounded(stars, sets, threshold), sets, threshold))
-    joined = components(links)
-    # Cells that hold more than one component are searched for the rest of the links.
-    labelled = members.join(joined, "node", "left").select(
-        "cell", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
-        "x <> y").select("cell")
-    rest = _tree_pairs(labelled.join(mixed, "cell", "left_semi"), sets, threshold, block)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(stage(rest.join(tried, ["a", "b"], "left_anti")), sets, threshold)
-    joined = stage(components(links.union(more)))
+    labels = stage(members.select("node").distinct().withColumn("component", F.col("node")))
+    wanted = stage(names.join(labels.select("node"), "node", "left_semi"))
+    sets = stage(_sets(docs, wanted, doc_id, text, shingle))
+
+    tried = None
+    mixed = members.withColumn("component", F.col("node"))
+    for k in range(rounds):
+        # Another point of each cell in each round, by a hash of its own.
+        pivots = mixed.groupBy("cell").agg(F.min_by(
+            F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("p"))
+        stars = mixed.join(pivots, "cell").filter("component <> p.component").select(
+            F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        stars = stage(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        labels = _merged(labels, stage(_verified(_bounded(stars, sets, threshold), sets, threshold)))
+        tried = stars if tried is None else tried.union(stars)
+        mixed = _mixed(members, labels)
+        if mixed.isEmpty():
+            break
+    else:
+        # What is left of the links runs across components of one cell.
+        rest = _tree_pairs(mixed, sets, threshold, block).join(tried, ["a", "b"], "left_anti")
+        labels = _merged(labels, stage(_verified(stage(rest), sets, threshold)))
 
     # The component's smallest document names it.
-    named = names.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
     return kept.select("id", "n", "node").join(of_node, "node", "left").select(
@@ -402,12 +429,13 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.coalesce("component_id", "id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+               threshold: Fraction = NEAR) -> DataFrame:
     """`docs` with one document of each component, the one with the smallest id; columns as they are.
 
     Of rows with one `doc_id` one stays; rows with a null `doc_id` all stay.
     """
-    classes = jaccard_classes(docs, doc_id, text, block=block)
+    classes = jaccard_classes(docs, doc_id, text, shingle, threshold)
     dropped = classes.filter(F.col(doc_id) != F.col("component_id")).select(
         F.col(doc_id).alias("__dropped")).distinct()
     left = docs.join(dropped, docs[doc_id].cast("long") == F.col("__dropped"), "left_anti")
