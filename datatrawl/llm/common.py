@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datatrawl.session import stage
 
-__all__ = ["ascii_lower", "held_out", "read_table", "row_key", "stage", "words"]
+__all__ = ["ascii_lower", "held_out", "read_table", "row_key", "stage", "unused", "words"]
 
 # What separates words once A-Z are lower case: ASCII other than 0-9 and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,3 +42,11 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 def row_key(key: Column, text: Column) -> Column:
     """Tells rows apart that share a key but not the text."""
     return F.struct(key.alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datatrawl.llm.common import row_key, words
+from datatrawl.llm.common import row_key, unused, words
 
 WINDOW = 10
 # Windows that one broadcast may hold (some hundred bytes each). A larger benchmark is cut by hash
@@ -69,7 +69,7 @@ def _probe(docs: DataFrame, grams: DataFrame, sizes: list[int], doc_id: str, tex
     hit = ((F.col("probe_key") == F.col("key")) & (F.col("probe_size") == F.col("size"))
            & (F.slice("w", F.col("at") + 1, F.col("size")) == F.col("gram")))
     found = spread.join(F.broadcast(grams), hit, "left")
-    first = F.col("at").isNull() | ((F.col("at") == 0) & (F.col("probe_size") == sizes[0]))
+    first = (F.coalesce("at", F.lit(0)) == 0) & (F.col("probe_size") == sizes[0])
     return found.filter(F.col("gram").isNotNull() | first).select(
         "doc", "row", F.size("w").alias("n_words"), first.alias("first"),
         F.when(F.col("gram").isNotNull(),
@@ -128,9 +128,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
     """
     bad = (
         contamination(docs, items, window, doc_id, text).filter("n_hit > 0")
-        .select(F.col("row").alias("__row")).distinct()
+        .select(F.col("row").alias(mark := unused(docs, "row"))).distinct()
     )
-    return docs.join(bad, row_key(docs[doc_id], docs[text]).eqNullSafe(F.col("__row")), "left_anti")
+    return docs.join(bad, row_key(docs[doc_id], docs[text]).eqNullSafe(bad[mark]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -140,16 +140,17 @@ def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     A changed text is its normalised words that are left, joined by a space.
     """
     hits = contamination(docs, items, window, doc_id, text).filter("n_hit > 0").dropDuplicates(["row"])
+    mark, cut = unused(docs, "row"), unused(docs, "cut")
     hits = hits.select(
-        F.col("row").alias("__row"),
+        F.col("row").alias(mark),
         F.array_distinct(F.flatten(F.transform(
-            "spans", lambda s: F.sequence(s["at"], s["end"] - 1)))).alias("__cut"))
-    joined = docs.join(hits, row_key(docs[doc_id], docs[text]).eqNullSafe(F.col("__row")), "left")
+            "spans", lambda s: F.sequence(s["at"], s["end"] - 1)))).alias(cut))
+    joined = docs.join(hits, row_key(docs[doc_id], docs[text]).eqNullSafe(hits[mark]), "left")
     w = words(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__cut"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col(cut))
     kept = F.array_join(F.transform(left, lambda i: F.get(w, i)), " ")
     return joined.select(*[
-        F.when(F.col("__row").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)
+        F.when(F.col(mark).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)
         for c in docs.columns])
 
 

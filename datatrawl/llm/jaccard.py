@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datatrawl.llm.common import stage
+from datatrawl.llm.common import stage, unused
 from datatrawl.llm.components import components
 from datatrawl.llm.tokens import slices
 
@@ -436,9 +436,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     Of rows with one `doc_id` one stays; rows with a null `doc_id` all stay.
     """
     classes = jaccard_classes(docs, doc_id, text, shingle, threshold)
+    mark = unused(docs, "dropped")
     dropped = classes.filter(F.col(doc_id) != F.col("component_id")).select(
-        F.col(doc_id).alias("__dropped")).distinct()
-    left = docs.join(dropped, docs[doc_id].cast("long") == F.col("__dropped"), "left_anti")
+        F.col(doc_id).alias(mark)).distinct()
+    left = docs.join(dropped, docs[doc_id].cast("long") == dropped[mark], "left_anti")
     with_id = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
     return with_id.unionByName(left.filter(F.col(doc_id).isNull()))
 

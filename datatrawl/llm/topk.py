@@ -110,7 +110,7 @@ def dual_search(best: Best, queries: Node, x: np.ndarray, ids: np.ndarray, candi
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    return np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1)
+    return np.array(vectors.to_pylist(), np.float64) if len(vectors) else np.zeros((0, 0))
 
 
 def search_block(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
@@ -153,7 +153,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int = Q
     """`query_id`, `rank` (from 1), `vec_id`, `score` for the rows of `vectors` that `is_query` picks.
 
     `vectors` as `whole_vectors` gives them. A query meets every row of its dimension but those of
-    its own id; with fewer than k candidates it gets all. No queries or an empty table: no rows.
+    its own id; with fewer than k candidates it gets all. Ids are expected once: an id with several
+    vectors gets the best of all of them. No queries or an empty table: no rows.
     """
     kept = stage(vectors.withColumn("query", F.coalesce(is_query, F.lit(False))))
     sizes = kept.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
