@@ -178,7 +178,9 @@ SELECT * FROM (VALUES ('create','create'),('created','create'),('creates','creat
 # Documents with a sentence on organizations behind them.
 FIXTURES["org_docs"] = """
 SELECT doc_id, text || ' Maps were ' || CASE WHEN doc_id % 2 = 0 THEN 'created' ELSE 'drawn' END || ' by '
-  || CASE doc_id % 3 WHEN 0 THEN 'Ohio State University' WHEN 1 THEN 'Acme Data Inc, formerly ACME Data Ltd' ELSE 'the council' END
+  || CASE doc_id % 5 WHEN 3 THEN 'eBay Inc, iPhone Maker Ltd and X-Ray Labs Inc''s heirs' WHEN 4
+     THEN 'One Two Three Four Five Six Seven University Ltd Friends' ELSE
+     CASE doc_id % 3 WHEN 0 THEN 'Ohio State University' WHEN 1 THEN 'Acme Data Inc, formerly ACME Data Ltd' ELSE 'the council' END END
   || ' for all. Thanks.' AS text
 FROM documents
 """

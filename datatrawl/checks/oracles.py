@@ -11,7 +11,8 @@ _SUFFIX_RE = "|".join(s.replace(".", r"\.") for s in fixed.DOWNLOAD_SUFFIXES)
 _MIMES = ", ".join(f"'{m}'" for m in fixed.DOWNLOAD_MIME_TYPES)
 _MEDIA = r"\.(?:" + "|".join(fixed.MEDIA_ENDINGS) + r")$"
 _SCHEMES = "(?i)^(?:" + "|".join(fixed.URL_SCHEMES) + "):"
-_NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+_NOISE = (
+    r"(?is)<script[^<>]*>.*?(?:</script>|\z)|<style[^<>]*>.*?(?:</style>|\z)|<!--.*?(?:-->|\z)")
 
 
 def _unescape(x: str) -> str:
@@ -22,7 +23,7 @@ def _unescape(x: str) -> str:
 
 
 def _inner(x: str, by: str = "") -> str:
-    return _unescape(f"regexp_replace({x}, '<[^>]*>', '{by}', 'g')")
+    return _unescape(f"regexp_replace({x}, '<[^<>]*>', '{by}', 'g')")
 
 
 def _clean(table: str, *more: str) -> str:
@@ -112,14 +113,14 @@ _METADATA_PAGE = r"""SELECT page_id, arg_min(target, ord) AS url FROM (
 _TITLES = r"""SELECT DISTINCT page_id, title FROM (
     SELECT page_id, unnest(CASE WHEN len(heads) = 0 THEN ['none'] ELSE heads END) AS title FROM (
       SELECT page_id, list_transform(
-        string_split_regex(clean, '(?i)<(?:title|h1)(?:\s[^>]*)?>')[2:7],
+        string_split_regex(clean, '(?i)<(?:title|h1)(?:\s[^<>]*)?>')[2:7],
         lambda x: """ + _inner(r"regexp_replace(x, '(?is)</(?:title|h1)\b.*$', '')") + r""") AS heads
       FROM cleaned))"""
 
 _PARAGRAPH = (
     r"(?is)^(.*?)(?:</?(?:p|div|article|section|nav|ul|ol|table|h1|h2|footer|header|body|html)\b|\z)")
 _ABSTRACT = r"""SELECT page_id, coalesce(list_filter(list_transform(
-      string_split_regex(clean, '(?i)<p(?:\s[^>]*)?>')[2:],
+      string_split_regex(clean, '(?i)<p(?:\s[^<>]*)?>')[2:],
       lambda x: """ + _inner(f"regexp_extract(x, '{_PARAGRAPH}', 1)") + r"""),
       lambda x: length(x) >= 150)[1], 'None found') AS abstract
   FROM cleaned"""
@@ -127,7 +128,7 @@ _ABSTRACT = r"""SELECT page_id, coalesce(list_filter(list_transform(
 _DOCUMENTS = r"""SELECT doc_id, b || t || a AS text, CAST(length(b) AS BIGINT) AS title_start,
     CAST(length(b) + length(t) AS BIGINT) AS title_end
   FROM (SELECT page_id AS doc_id, """ + ", ".join(
-    _inner(f"regexp_extract(clean, '(?is)^(.*?)<title(?:\\s[^>]*)?>(.*?)(</title\\b.*)$', {g})", " ")
+    _inner(f"regexp_extract(clean, '(?is)^(.*?)<title(?:\\s[^<>]*)?>(.*?)(</title\\b.*)$', {g})", " ")
     + f" AS {name}" for g, name in ((1, "b"), (2, "t"), (3, "a"))) + """
     FROM cleaned)"""
 
@@ -177,19 +178,30 @@ def _lookup_in(docs: str, gazetteer: str, tokens: str = "all_tokens") -> dict[st
     }
 
 
-_NAME = (r"(?:\p{Lu}[\p{L}\p{N}&''-]* ){1,5}(?:" + "|".join(fixed.ORGANIZATION_SUFFIXES)
-         + r")(?:[^\p{L}\p{N}]|\z)")
+_ENDING = "^(?:" + "|".join(fixed.ORGANIZATION_SUFFIXES) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 def _orgs_in(docs: str) -> dict[str, str]:
+    """Words with a running number; a run of capitalised ones is an island of them."""
     steps = _lookup_in(docs, "org_gazetteer")
-    steps["named"] = rf"""SELECT doc_id, CAST(e - length(name) AS BIGINT) AS start, name AS raw,
-        regexp_replace(name, '[^\p{{L}}\p{{N}}]$', '') AS text
-      FROM (SELECT doc_id, e, regexp_extract(piece, '(?s)({_NAME})$', 1) AS name
-        FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e
-          FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-            FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?{_NAME}|(?s).+') AS p FROM {docs}))))
-      WHERE name <> ''"""
+    steps["worded"] = rf"""SELECT *, regexp_matches(piece, '^\p{{Lu}}') AS capital,
+        sum(length(piece)) OVER w - length(piece) AS begun, lag(piece) OVER w AS gap, lag(piece, 2) OVER w AS previous
+      FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text,
+            '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}&''-]*|[^\p{{L}}\p{{N}}]+') AS p FROM {docs}))
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+    steps["runs"] = r"""SELECT *, sum(CASE WHEN gap = ' ' AND regexp_matches(previous, '^\p{Lu}') THEN 0 ELSE 1 END)
+        OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM worded WHERE capital"""
+    steps["ended"] = f"""SELECT doc_id, run, min(begun) AS start, arg_max(begun, i) AS last_begun, arg_max(piece, i) AS last
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS nth,
+              max(CASE WHEN regexp_matches(piece, '{_ENDING}') THEN i END) OVER (PARTITION BY doc_id, run) AS stop
+            FROM runs)
+      WHERE i <= stop GROUP BY doc_id, run HAVING max(nth) > 1"""
+    steps["named"] = rf"""SELECT e.doc_id, CAST(start AS BIGINT) AS start,
+        substring(text, CAST(start + 1 AS BIGINT), CAST(last_begun - start AS BIGINT))
+          || regexp_extract(last, '^(?:{"|".join(fixed.ORGANIZATION_SUFFIXES)})') AS text
+      FROM ended e JOIN {docs} d ON d.doc_id = e.doc_id"""
     steps["orgs"] = """SELECT doc_id, start, "end", text FROM lookups
       UNION SELECT doc_id, start, CAST(start + length(text) AS BIGINT), text FROM named"""
     return steps

@@ -27,6 +27,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = [[None, 0, "#root", {}, 0, 0]]
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}  # of the open elements, by tag
         self.text: list[str] = []
         self.length = 0
 
@@ -38,15 +39,16 @@ class _Tree(HTMLParser):
         while len(self.open) > depth:
             node = self.nodes[self.open.pop()]
             node[1], node[5] = len(self.nodes) - 1, self.length
+            if self.open:
+                self.depths[node[2]].pop()
+
+    def _nearest(self, tags) -> int:
+        return max((held[-1] for tag in tags if (held := self.depths.get(tag))), default=0)
 
     def _close_nearest(self, tags, bounds) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[depth]][2]
-            if tag in tags:
-                self._close_to(depth)
-                return
-            if tag in bounds:
-                return
+        depth = self._nearest(tags)
+        if depth > self._nearest(bounds):
+            self._close_to(depth)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_PARAGRAPH:
@@ -62,6 +64,7 @@ class _Tree(HTMLParser):
         node_id = len(self.nodes)
         self.nodes.append([self.open[-1], node_id, tag, named, self.length, self.length])
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(node_id)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

@@ -1,6 +1,8 @@
 """HTML and XML expressions. They work within a row, so they need no shuffle.
 
-Possessive quantifiers keep the matcher from recursing on very long tags.
+Possessive quantifiers keep the matcher from recursing on very long tags. No tag holds a "<", so
+that a page of tags that never end is still read once; what opens a script, a style or a comment
+and never closes it runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -10,17 +12,19 @@ from pyspark.sql import functions as F
 
 from datatrawl import fixed
 
-_NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_TAG = r"<[^>]*>"
+_NOISE = (
+    r"(?is)<script[^<>]*+>.*?(?:</script>|\z)|<style[^<>]*+>.*?(?:</style>|\z)|<!--.*?(?:-->|\z)")
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_TAG = r"<[^<>]*+>"
 _START_TAG = rf"<[A-Za-z][A-Za-z0-9:_-]*+{_ATTRIBUTES}>"
-_ATTRIBUTE = r"""[^\s"'=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+_ATTRIBUTE = (
+    r"""(?<![^\s"'=<>/])[^\s"'=<>/]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)""")
+_PARAGRAPH_OPEN = r"(?i)<p(?:\s[^<>]*+)?>"
 _PARAGRAPH = (
     r"(?is)^(.*?)(?:</?(?:p|div|article|section|nav|ul|ol|table|h1|h2|footer|header|body|html)\b"
     r"|\z)"
 )
-_TITLE_OPEN = r"(?i)<(?:title|h1)(?:\s[^>]*)?>"
+_TITLE_OPEN = r"(?i)<(?:title|h1)(?:\s[^<>]*+)?>"
 _TITLE_CLOSE = r"(?is)</(?:title|h1)\b.*\z"
 
 
@@ -109,8 +113,13 @@ def tag_name(tag: Column) -> Column:
 
 def attribute_map(tag: Column) -> Column:
     """Attributes with a value, by lower-cased name; the first of equal names counts."""
-    empty = F.create_map().cast("map<string, string>")
-    return F.aggregate(
-        _attribute_pairs(tag), empty,
-        lambda known, pair: F.when(F.map_contains_key(known, _pair_name(pair)), known).otherwise(
-            F.map_concat(known, F.create_map(_pair_name(pair), _pair_value(pair)))))
+    pairs = F.transform(_attribute_pairs(tag), lambda pair, i: F.struct(
+        _pair_name(pair).alias("name"), i.alias("i"), _pair_value(pair).alias("value")))
+    by_name = F.array_sort(pairs)
+    nothing = F.lit(None).cast("struct<name: string, i: int, value: string>")
+    firsts = F.array_compact(F.zip_with(
+        by_name, F.concat(F.array(nothing), by_name),
+        lambda x, before: F.when(x["name"].isNotNull() & ~x["name"].eqNullSafe(before["name"]), F.struct(
+            x["i"].alias("i"), x["name"].alias("name"), x["value"].alias("value")))))
+    return F.map_from_entries(F.transform(
+        F.array_sort(firsts), lambda x: F.struct(x["name"], x["value"])))

@@ -15,16 +15,32 @@ SENTENCE_BLOCKS = rf"(?:{_SENTENCE}){{1,64}}|[^.!?]+\z"
 SENTENCE_PIECES = rf"{_SENTENCE}|[^.!?]+\z"
 
 
-def _starts(pieces: Column, start: Column) -> Column:
-    """Where each of some consecutive pieces begins, the first one at `start`."""
-    empty = F.struct(start.cast("bigint").alias("at"),
-                     F.array().cast("array<bigint>").alias("done"))
+def _running(values: Column, start: Column, length, kind: str) -> Column:
+    """A struct of the total behind `start` and, for each value, what lies before it."""
+    empty = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("done"))
+    return F.aggregate(values, empty, lambda state, v: F.struct(
+        (state["at"] + length(v)).alias("at"), F.array_append(state["done"], state["at"]).alias("done")))
+
 
-    def step(state: Column, piece: Column) -> Column:
-        return F.struct((state["at"] + F.length(piece)).alias("at"),
-                        F.array_append(state["done"], state["at"]).alias("done"))
+def _starts(pieces: Column, start: Column) -> Column:
+    """Where each of some consecutive pieces begins, the first one at `start`.
 
-    return F.aggregate(pieces, empty, step, lambda state: state["done"])
+    Appending copies an array, so sums run over groups of about the square root of all pieces, and
+    over the pieces of each group.
+    """
+    n = F.size(pieces)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    groups = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / width).cast("int"))),
+        lambda g: _running(F.slice(pieces, g * width + 1, width), F.lit(0).cast("bigint"), F.length, "bigint"))
+
+    def step(state: Column, group: Column) -> Column:
+        here = F.transform(group["done"], lambda at: at + state["at"])
+        return F.struct((state["at"] + group["at"]).alias("at"), F.array_append(state["done"], here).alias("done"))
+
+    empty = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("done"))
+    return F.when(n > 0, F.flatten(F.aggregate(groups, empty, step, lambda state: state["done"]))).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def with_offsets(df: DataFrame, keep: list[str], pieces: Column, start: Column,

@@ -49,7 +49,7 @@ def page_features(pages: DataFrame) -> DataFrame:
     The text is that of title and rest laid end to end, so that the title has a span in it.
     """
     parts = _cleaned(pages, "url").withColumn(
-        "_around", F.split("clean", r"(?i)<title(?:\s[^>]*)?>", 2))
+        "_around", F.split("clean", r"(?i)<title(?:\s[^<>]*+)?>", 2))
     before = m.flowed_text(F.col("_around")[0])
     rest = F.coalesce(F.get("_around", F.lit(1)), F.lit(""))
     title = m.flowed_text(F.regexp_replace(rest, r"(?is)</title\b.*\z", ""))

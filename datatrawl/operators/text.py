@@ -122,20 +122,28 @@ def format_mentions(lookups: DataFrame, major_type: str = "GISformat") -> DataFr
 
 
 def suffix_organizations(docs: DataFrame) -> DataFrame:
-    """Up to six capitalised words, the last of them one that names a kind of organization."""
-    word = r"\p{Lu}[\p{L}\p{N}&'-]*"
+    """Capitalised words in a row, up to the last that names a kind of organization.
+
+    A text is cut in runs of two capitalised words or more, parted by one blank, and what lies
+    between, so each character is read once however long a run is.
+    """
+    more = r"[\p{L}\p{N}&'-]*+"
+    word = rf"\p{{Lu}}{more}"
+    run = rf"{word}(?: {word})++"
+    between = rf"(?:(?!{word} \p{{Lu}})[\p{{L}}\p{{N}}]{more}|[^\p{{L}}\p{{N}}]++)++"
     endings = "|".join(fixed.ORGANIZATION_SUFFIXES)
-    name = rf"(?:{word} ){{1,5}}(?:{endings})(?:[^\p{{L}}\p{{N}}]|\z)"
-    blocks = F.regexp_extract_all("text", F.lit(rf"((?s).*?{name}|.+)"), 1)
-    rows = tx.piece_rows(docs, ["doc_id"], blocks, F.lit(0))
-    found = F.regexp_extract("p.text", rf"(?s)({name})\z", 1)
-    trimmed = F.regexp_replace(found, r"[^\p{L}\p{N}]\z", "")
-    start = F.col("p.start") + F.length("p.text") - F.length(found)
-    return (
-        rows.filter(found != "")
-        .select("doc_id", start.alias("start"), (start + F.length(trimmed)).alias("end"),
-                trimmed.alias("text"))
-    )
+    pieces = F.regexp_extract_all("text", F.lit(f"({run}|{between})"), 1)
+    rows = tx.piece_rows(docs, ["doc_id"], pieces, F.lit(0))
+    runs = rows.filter(F.col("p.text").rlike(rf"^{word} \p{{Lu}}"))
+    named = runs.select("doc_id", F.col("p.start").alias("start"), F.split("p.text", " ").alias("w"))
+    last = F.array_max(F.transform("w", lambda word, i: F.when(
+        (i > 0) & word.rlike(rf"^(?:{endings})(?![\p{{L}}\p{{N}}])"), i)))
+    named = named.select("doc_id", "start", "w", last.alias("last")).filter("last is not null").select(
+        "doc_id", "start", F.concat_ws(
+            " ", F.slice("w", F.lit(1), F.col("last")),
+            F.regexp_extract(F.get("w", F.col("last")), f"^({endings})", 1)).alias("text"))
+    return named.select(
+        "doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
 def organizations(docs: DataFrame, gazetteer: DataFrame,

@@ -65,6 +65,15 @@ def test_organization_by_suffix(spark):
         (10, 31, "Ohio State University"), (37, 50, "Acme Data Inc"), (52, 59, "The Inc")]
 
 
+def test_whole_names_from_the_start_of_a_word(spark):
+    rows = tx.suffix_organizations(docs(
+        spark, "One Two Three Four Five Six Seven University", "eBay Inc and iPhone Maker Ltd", "X-Ray Labs Inc's heirs",
+        "Inc Ltd Friends", "Big  Labs Inc")).collect()
+    assert sorted((r.doc_id, r.start, r.text) for r in rows) == [
+        (0, 0, "One Two Three Four Five Six Seven University"), (2, 0, "X-Ray Labs Inc"), (3, 0, "Inc Ltd"),
+        (4, 5, "Labs Inc")]
+
+
 def test_overlap_against_all_pairs(spark):
     rng = random.Random(5)
     a = [(rng.randrange(3), s, s + rng.choice([0, 1, 5, 300])) for s in rng.choices(range(900), k=80)]
