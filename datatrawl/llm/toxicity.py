@@ -177,10 +177,11 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     spread = sample.select("toxic", F.split(F.lower("text"), r"[^\p{L}\p{N}_]+").alias("w"))
     spread = spread.select("toxic", "w", F.posexplode("w").alias("at", "word")).filter("word <> ''")
     around = F.xxhash64(F.get("w", F.col("at") - 1), F.lit("/"), F.get("w", F.col("at") + 1))
-    keys = F.array_compact(F.array(
-        F.concat(F.lit("="), "word"),
-        *[F.when(F.length("word") > n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in STEM_SIZES]))
-    places = spread.select("toxic", around.alias("around"), F.explode(keys).alias("key"))
+    # The words of the text end here: with a lambda above, each word would carry all of them.
+    spread = spread.select("toxic", "word", around.alias("around"))
+    keys = F.array(F.concat(F.lit("="), "word"), *[
+        F.when(F.length("word") > n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in STEM_SIZES])
+    places = spread.select("toxic", "around", F.explode(keys).alias("key")).filter("key is not null")
     by_place = places.groupBy("key", "around").agg(F.max("toxic").alias("most"), F.min("toxic").alias("least"))
     counted = by_place.groupBy("key").agg(
         F.sum("most").alias("pos"), F.sum(1 - F.col("least")).alias("neg"))
