@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datatrawl.functions import urls as u
-from datatrawl.operators.joins import hot_key_join
 
 _COLUMNS = ("parent_url", "url", "source", "from_queue")
 
@@ -40,13 +39,9 @@ def first_per_url(frontier: DataFrame) -> DataFrame:
     return first.select("f.parent_url", "url", "f.source", "f.from_queue")
 
 
-def known_urls_anti(frontier: DataFrame, tab_url: DataFrame,
-                    one_per_url: bool = False) -> DataFrame:
-    """Leave out URLs that are stored already. `one_per_url`: the frontier repeats no URL."""
-    known = tab_url.select("url")
-    if one_per_url:
-        return frontier.join(known, "url", "left_anti").select(*frontier.columns)
-    return hot_key_join(frontier, known, "url", "left_anti").select(*frontier.columns)
+def known_urls_anti(frontier: DataFrame, tab_url: DataFrame) -> DataFrame:
+    """Leave out URLs that are stored already."""
+    return frontier.join(tab_url.select("url"), "url", "left_anti").select(*frontier.columns)
 
 
 def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
@@ -87,6 +82,6 @@ def expand_one_hop(seeds: DataFrame, links: DataFrame, pages: DataFrame,
         u.resolve_link(F.col("seed_url"), F.col("href"), rfc3986=True).alias("url"))
     wanted = keep(not_media(same_site(targets, exact_host)).filter(
         F.col("url") != F.col("seed_url")).distinct())
-    found = hot_key_join(wanted, pages.select("url"), "url", "left_semi")
+    found = wanted.join(pages.select("url"), "url", "left_semi")
     return found.select(
         F.col("seed_url").alias("parent_url"), "url", "source", F.lit(False).alias("from_queue"))

@@ -1,11 +1,14 @@
-"""Joins that hold up when one key has a large share of the rows."""
+"""A join for thin lookups that holds up when one key has a large share of the rows.
+
+Joins of two large tables carry no hint and no salt: adaptive execution splits the partitions of
+a hot key for inner, left, semi and anti joins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 SALTS = 16
 
 
@@ -26,33 +29,3 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     copies = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "_salt"], how).drop("_salt")
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least `hot_rows` rows: never more than rows / hot_rows of them."""
-    return (
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows).select(key)
-    )
-
-
-def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
-                 hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join where `right` may be as large as `left`: only rows of hot keys are salted.
-
-    The broadcast list of hot keys is bounded by rows / hot_rows. `how` may be inner, left,
-    left_semi or left_anti. Null keys on the left are spread, as they find nothing anyway.
-    """
-    hot = F.broadcast(hot_keys(left, key, hot_rows).withColumn("_hot", F.lit(True)))
-    spread = (
-        left.withColumn("_any_salt", _salt(left, salts)).join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.col("_any_salt"))
-                    .otherwise(F.lit(0)))
-        .drop("_hot", "_any_salt")
-    )
-    last_salt = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    copies = (
-        right.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last_salt))).drop("_hot")
-    )
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from datatrawl import fixed
 from datatrawl.functions import urls as u
 from datatrawl.operators.ids import dense_ids, highest_id
-from datatrawl.operators.joins import hot_key_join, salted_join
 
 
 def download_links(links: DataFrame, probes: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def download_links(links: DataFrame, probes: DataFrame) -> DataFrame:
         .otherwise(F.col("target"))).distinct()
     archives = probes.filter(F.col("content_type").isin(*fixed.DOWNLOAD_MIME_TYPES)).select(
         F.col("url").alias("_probe")).distinct().withColumn("_archive", F.lit(True))
-    probed = salted_join(keyed, archives, "_probe", "left")
+    probed = keyed.join(archives, "_probe", "left")
     return probed.filter(F.col("_sure") | F.col("_archive")).select(
         "page_id", F.col("target").alias("url")).distinct()
 
@@ -44,7 +43,7 @@ def metadata_page(links: DataFrame, probes: DataFrame) -> DataFrame:
         u.resolve_metadata_link(F.col("url"), F.col("href")).alias("target"))
     xml = probes.filter(F.col("content_type").endswith("/xml")).select(
         F.col("url").alias("target")).distinct()
-    hits = salted_join(candidates.filter(u.is_valid_url(F.col("target"))), xml, "target")
+    hits = candidates.filter(u.is_valid_url(F.col("target"))).join(xml, "target")
     return hits.groupBy("page_id").agg(F.min_by("target", "ord").alias("url"))
 
 
@@ -80,7 +79,7 @@ def link_bridge(page_urls: DataFrame, downloads: DataFrame, link_ids: DataFrame)
     pairs = page_urls.select("page_id", F.col("id").alias("url_id")).join(
         downloads.select("page_id", "url"), "page_id")
     ids = link_ids.select("url", F.col("id").alias("link_id"))
-    return hot_key_join(pairs.select("url_id", "url"), ids, "url").select("url_id", "link_id")
+    return pairs.select("url_id", "url").join(ids, "url").select("url_id", "link_id")
 
 
 def run_counts(links: DataFrame, routed: DataFrame) -> DataFrame:

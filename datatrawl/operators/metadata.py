@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from datatrawl import fixed
 from datatrawl.functions import markup as m
 from datatrawl.functions import numbers, urls as u
-from datatrawl.operators.joins import hot_key_join
 from datatrawl.operators.overlap import overlap_join
 from datatrawl.operators.tree import ancestors_up, nodes_containing
 
@@ -154,7 +153,7 @@ def save_metadata(link_rows: DataFrame, metadata_docs: DataFrame) -> DataFrame:
     wanted = link_rows.filter(F.col("metadata_url").isNotNull()).select(
         u.metadata_file_name(F.col("url")).alias("file_name"), "metadata_url")
     docs = metadata_docs.select(F.col("url").alias("metadata_url"), "xml")
-    found = hot_key_join(wanted.filter(F.col("file_name").isNotNull()), docs, "metadata_url")
+    found = wanted.filter(F.col("file_name").isNotNull()).join(docs, "metadata_url")
     lines = F.split(F.regexp_replace("xml", r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
     return found.select("file_name", F.posexplode(lines).alias("no", "line")).select(
         "file_name", (F.col("no") + 1).alias("line_no"), "line")

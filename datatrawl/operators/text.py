@@ -38,7 +38,8 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def token_roots(token_rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Add the root of each token: its lemma, or the token itself."""
-    forms = lemmas.select(F.lower("form").alias("_form"), "root").dropDuplicates(["_form"])
+    # Of several roots of a form the first in order counts.
+    forms = lemmas.groupBy(F.lower("form").alias("_form")).agg(F.min("root").alias("root"))
     keyed = token_rows.withColumn("_form", F.lower("token"))
     return (
         salted_join(keyed, forms, "_form", "left")

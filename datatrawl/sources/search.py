@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datatrawl import fixed, schemas
-from datatrawl.operators.joins import hot_key_join
 from datatrawl.sources.seeds import as_frontier
 
 _NO_STATUS = 2**63 - 1
@@ -50,9 +49,10 @@ def legacy_search_urls(responses: DataFrame) -> DataFrame:
 
 
 def expand_urls(frontier: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Follow one redirect: url becomes its location, if it has one."""
-    known = redirects.filter(F.col("location").isNotNull()).select("url", "location")
-    expanded = hot_key_join(frontier, known.dropDuplicates(["url"]), "url", "left")
+    """Follow one redirect: url becomes its location, if it has one; of several the first in order."""
+    known = redirects.filter(F.col("location").isNotNull()).groupBy("url").agg(
+        F.min("location").alias("location"))
+    expanded = frontier.join(known, "url", "left")
     return expanded.withColumn("url", F.coalesce("location", "url")).select(*frontier.columns)
 
 
