@@ -429,11 +429,21 @@ _FIRST = """SELECT parent_url, url, source, from_queue FROM {0} QUALIFY row_numb
   PARTITION BY url ORDER BY NOT from_queue, coalesce(parent_url, ''), source) = 1"""
 _add("union_frontier", ["seed_lines", "search_payload", "legacy_payload"], _UNION)
 _add("dedupe_batch", ["seed_lines", "search_payload", "legacy_payload"], _FIRST.format(f"({_UNION})"))
+def _form(x: str) -> str:
+    """Scheme and host in lower case, no default port, no fragment."""
+    parts = rf"regexp_extract({x}, '^([^:/?#]+)://([^/?#:]*)(?::([0-9]*))?([^#]*)', {{}})"
+    scheme, host, port, rest = (parts.format(n) for n in (1, 2, 3, 4))
+    return (f"(lower({scheme}) || '://' || lower({host}) || CASE WHEN {port} = '' OR (lower({scheme}), {port})"
+            f" IN (('http', '80'), ('https', '443')) THEN '' ELSE ':' || {port} END || {rest})")
+
+
 _add("expand_one_hop", ["frontier", "pages_linked"], f"""SELECT DISTINCT l.seed_url AS parent_url,
-    l.resolved AS url, f.source, FALSE AS from_queue
-  FROM linked l JOIN frontier f ON f.url = l.seed_url AND f.from_queue
-  JOIN pages p ON p.url = l.resolved
-  WHERE {_SAME} AND NOT regexp_matches(lower(l.resolved), '{_MEDIA}') AND l.resolved <> l.seed_url""",
+    p.page AS url, f.source, FALSE AS from_queue
+  FROM (SELECT seed_url, {_form('resolved')} AS resolved FROM linked) l
+  JOIN frontier f ON f.url = l.seed_url AND f.from_queue
+  JOIN (SELECT {_form('url')} AS form, min(url) AS page FROM pages GROUP BY 1) p ON p.form = l.resolved
+  WHERE {_SAME} AND NOT regexp_matches(lower(l.resolved), '{_MEDIA}')
+    AND l.resolved <> {_form('l.seed_url')}""",
      _LINKED)
 
 

@@ -115,6 +115,15 @@ def resolve_metadata_link(page_url: Column, href: Column) -> Column:
     return F.when(href.startswith("/"), F.concat(site_root(page_url), href)).otherwise(href)
 
 
+def crawl_form(url: Column) -> Column:
+    """The form in which two URLs of one page agree: scheme and host in lower case, without a
+    default port and without a fragment."""
+    root = F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9.+-]*://[^/?#]*)", 1)
+    rest = F.regexp_replace(F.substr(url, F.length(root) + 1), r"(?s)#.*\z", "")
+    bare = F.regexp_replace(F.lower(root), r"^(http://.*?):(?:80)?\z", "$1")
+    return F.concat(F.regexp_replace(bare, r"^(https://.*?):(?:443)?\z", "$1"), rest)
+
+
 def on_same_site(url: Column, seed_url: Column, exact_host: bool = False) -> Column:
     """The lower-cased URL begins with the seed's `scheme://host`, or has that very host."""
     if exact_host:

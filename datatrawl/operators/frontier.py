@@ -69,19 +69,24 @@ def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
 
 def expand_one_hop(seeds: DataFrame, links: DataFrame, pages: DataFrame,
                    exact_host: bool = False,
-                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+                   keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+                   exact_url: bool = False) -> DataFrame:
     """Sub-pages of the seeds: same-site pages, no media, that their links lead to.
 
     `seeds` has frontier columns and page_id, `links` page_id and href. The seed itself is no
     sub-page of its own. Filters run before anything is shuffled but the seeds. `keep` is applied
-    to the wanted URLs before their pages are looked up, and may write them.
+    to the wanted URLs before their pages are looked up, and may write them. URLs are compared in
+    their crawl form, and the page's own URL comes out (of several the first in order);
+    `exact_url` compares them as they are.
     """
+    form = (lambda url: url) if exact_url else u.crawl_form
     parents = seeds.select("page_id", F.col("url").alias("seed_url"), "source")
     targets = parents.join(links.select("page_id", "href"), "page_id").select(
         "seed_url", "source",
-        u.resolve_link(F.col("seed_url"), F.col("href"), rfc3986=True).alias("url"))
+        form(u.resolve_link(F.col("seed_url"), F.col("href"), rfc3986=True)).alias("url"))
     wanted = keep(not_media(same_site(targets, exact_host)).filter(
-        F.col("url") != F.col("seed_url")).distinct())
-    found = wanted.join(pages.select("url"), "url", "left_semi")
-    return found.select(
-        F.col("seed_url").alias("parent_url"), "url", "source", F.lit(False).alias("from_queue"))
+        F.col("url") != form(F.col("seed_url"))).distinct())
+    stored = pages.groupBy(form(F.col("url")).alias("url")).agg(F.min("url").alias("page_url"))
+    return wanted.join(stored, "url").select(
+        F.col("seed_url").alias("parent_url"), F.col("page_url").alias("url"), "source",
+        F.lit(False).alias("from_queue"))

@@ -77,3 +77,11 @@ def test_coordinate(spark, text, ok):
     ("ftp://h/a", True), ("gopher://h/a", False)])
 def test_uri(spark, line, ok):
     assert one(spark, u.is_uri(F.col("v")), v=line) is ok
+
+
+def test_crawl_form(spark):
+    rows = spark.createDataFrame([
+        ("HTTP://Host:80/Path?q=A#top",), ("https://h.org:443",), ("https://h.org:8443/x#",), ("http://h.org:443/",),
+        ("/only/a/path#x",), ("http://h/a",)], "url string")
+    assert [r[0] for r in rows.select(u.crawl_form(F.col("url"))).collect()] == [
+        "http://host/Path?q=A", "https://h.org", "https://h.org:8443/x", "http://h.org:443/", "/only/a/path", "http://h/a"]
