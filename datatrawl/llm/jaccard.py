@@ -228,7 +228,7 @@ class RTree:
 
 
 def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: Fraction) -> DataFrame:
-    """`id`, `n`, `node` (null for an empty set), `cells` (of the first of equal sets in a task)."""
+    """`id`, `n`, `node` (null for an empty set), `cells` (of the first row with an id of equal sets in a task)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +237,17 @@ def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: F
             for at, run in slices(batch.column("text"), SLICE_BYTES):
                 hashes, offsets = shingle_sets(run, shingle)
                 sizes, nodes = np.diff(offsets), node_names(hashes, offsets)
+                ids = batch.column("id").slice(at, len(run))
+                # A row without an id gives its set no cells, so it may not stand for the set.
+                may = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
                 cells = []
                 for i, node in enumerate(nodes.tolist()):
-                    fresh = sizes[i] and node not in seen
+                    fresh = may[i] and node not in seen
                     if fresh and len(seen) < 1 << 20:
                         seen.add(node)
                     cells.append(cell_keys(hashes[offsets[i]:offsets[i + 1]], threshold).view(np.int64) if fresh else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(run)), pa.array(sizes), pa.array(nodes, mask=sizes == 0),
+                    [ids, pa.array(sizes), pa.array(nodes, mask=sizes == 0),
                      pa.array(cells, pa.list_(pa.int64()))], ["id", "n", "node", "cells"])
 
     return narrow.mapInArrow(index, "id long, n long, node long, cells array<long>")

@@ -88,6 +88,15 @@ def test_null_keys_and_empty_tables(spark):
     assert J.jaccard_classes(odd.documents(spark, odd.ROWS).limit(0)).count() == 0
 
 
+def test_a_row_without_key_does_not_stand_for_its_text(spark):
+    first, second = chain(2, 150, 6, 1)
+    rows = [(None, first[1]), first, second, (None, second[1])]
+    docs = odd.documents(spark, rows).coalesce(1)
+    assert sorted(str(tuple(r)) for r in J.jaccard_classes(docs).collect()) == brute(rows)
+    kept = J.keep_first(docs, shingle=3, threshold=J.THRESHOLD).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "None", "None"]
+
+
 def test_sets(rows):
     texts = [t or "" for _, t in rows]
     hashes, offsets = J.shingle_sets(pa.array(texts))
