@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datatrawl.session import stage
 
-__all__ = ["ascii_lower", "held_out", "read_table", "row_key", "stage", "unused", "words"]
+__all__ = ["ascii_lower", "by_share", "held_out", "read_table", "row_key", "stage", "unused", "words"]
 
 # What separates words once A-Z are lower case: ASCII other than 0-9 and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,6 +44,11 @@ def row_key(key: Column, text: Column) -> Column:
     return F.struct(key.alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
 
 
+def by_share(key: Column, share: Column | float) -> Column:
+    """True for about `share` of all `key`s (64-bit hashes)."""
+    return F.pmod(key, F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datatrawl.llm.common import by_share, unused
 from datatrawl.llm.dom import BLOCK, RAW, TEXT, Dom, parse
 from datatrawl.llm.tokens import slices
 
@@ -234,13 +235,15 @@ def fit_sample(pages: DataFrame, text: str = "html", key: str = "page_id",
                sample_pages: int = SAMPLE_PAGES, most_chars: int = 100_000) -> PageModel:
     """Fits on about `sample_pages` pages of at most `most_chars` characters, chosen by a hash.
 
-    Only the sample comes to the driver, of which these two numbers bound the size.
+    The hash is of key and text, and equal pages count once, whatever their keys. Only the sample
+    comes to the driver, of which these two numbers bound the size.
     """
-    known = pages.filter(F.length(text) <= most_chars)
-    n = known.count()
+    mark = unused(pages, "sampled_by")
+    known = pages.filter(F.length(text) <= most_chars).withColumn(mark, F.xxhash64(key, text))
+    n = known.agg(F.approx_count_distinct(mark)).first()[0]
     share = min(1.0, sample_pages / max(1, n))
-    picked = known.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))
-    return fit(sorted(r[0] for r in picked.select(text).collect()))
+    picked = known.filter(by_share(F.col(mark), F.lit(share)))
+    return fit(sorted(r[0] for r in picked.select(text).distinct().collect()))
 
 
 def extract(pages: DataFrame, model: PageModel, page_id: str = "page_id", url: str = "url",

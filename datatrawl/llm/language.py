@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datatrawl.llm.bytenet import PAD, ByteNet, Shape, arrow_bytes, spread_windows, text_windows, to_rows
-from datatrawl.llm.common import held_out
+from datatrawl.llm.common import by_share, held_out, unused
 from datatrawl.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -56,33 +56,45 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         shape: Shape | None = None, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learns from the rows of `docs` that have a text and a language and are not held out.
 
-    At most about `sample_docs` documents a language are taken, chosen by a hash of the key, and
-    SAMPLE_WINDOWS windows of each; only those windows come to the driver.
+    At most about `sample_docs` documents a language are taken, chosen by a hash of the key and the
+    text, and SAMPLE_WINDOWS windows of each; only those windows come to the driver. Rows with the
+    same key and text are one document, however many there are.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()
                         & ~held_out(F.col(doc_id), FOLDS, HELD_OUT))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    mark = unused(docs, "sampled_by")
+    known = known.withColumn(mark, F.xxhash64(doc_id, text))
+    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.approx_count_distinct(mark)).collect()}
     langs = sorted(counts)
     shape = shape or Shape(widths=(2, 3, 5), classes=max(2, len(langs)))
     if not langs:
         return LanguageModel([], None)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / counts[k]))]),
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / max(1, counts[k])))]),
                          F.col(lang))
-    picked = known.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share * (1 << 20)).select(
-        F.col(lang).alias("lang"), F.encode(F.col(text), "UTF-8").alias("data"))
+    picked = known.filter(by_share(F.col(mark), share)).select(
+        F.col(lang).alias("lang"), F.col(mark).alias("doc"), F.encode(F.col(text), "UTF-8").alias("data"))
     window, most = shape.window, SAMPLE_WINDOWS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()   # no larger than the sample
         for batch in batches:
-            names, parts = [], []
-            for name, data in zip(batch.column("lang").to_pylist(), batch.column("data").to_pylist()):
+            names, docs, places, parts = [], [], [], []
+            for name, doc, data in zip(*(batch.column(c).to_pylist() for c in ("lang", "doc", "data"))):
+                if (name, doc) in seen:
+                    continue
+                seen.add((name, doc))
                 for at in spread_windows(data, window, window, most):
                     names.append(name)
+                    docs.append(doc)
+                    places.append(at)
                     parts.append(data[at:at + window])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())],
-                                             ["lang", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
+                 pa.array(parts, pa.binary())], ["lang", "doc", "at", "part"])
 
-    rows = picked.mapInArrow(cut, "lang string, part binary").toArrow()
+    # Tasks may hold the same document.
+    rows = picked.mapInArrow(cut, "lang string, doc long, at long, part binary").distinct().select(
+        "lang", "part").toArrow()
     parts, names = rows.column("part").to_pylist(), rows.column("lang").to_pylist()
     order = sorted(range(len(parts)), key=lambda i: (names[i], parts[i]))  # however rows arrive
     at = {k: i for i, k in enumerate(langs)}

@@ -79,6 +79,16 @@ def test_language_of_odd_rows(spark, tables):
     assert language.identify(odd.documents(spark, odd.ROWS).limit(0), model).count() == 0
 
 
+def test_language_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
+    rows = [(None, f"{k} mot {k * 7} un {k}", "fr") for k in range(6000)]
+    rows += [(77, f"{k} word {k * 3} one {k}", "en") for k in range(3000)] + [(5, "always the same", "en")] * 3000
+    trained = []
+    monkeypatch.setattr(ByteNet, "train", lambda self, x, group, target, **_: trained.append(np.bincount(target)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    language.fit(docs, sample_docs=200)
+    assert all(120 < n < 280 for n in trained[0]) and len(trained[0]) == 2
+
+
 def test_quality_on_held_out_documents(spark, tables):
     docs, labels = tables
     model = quality.fit(docs, labels)

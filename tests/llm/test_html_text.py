@@ -57,6 +57,16 @@ def test_marginals_by_enumeration(model):
     assert np.allclose(model.infer(f)[0], total / total.sum(1, keepdims=True))
 
 
+def test_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(H, "fit", list)
+    rows = [(None, f"<p>{k}</p>") for k in range(4000)] + [(9, "<p>always the same</p>")] * 2000
+    rows += [(8, f"<b>{k}</b>") for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(6)
+    got = H.fit_sample(pages, sample_pages=300)
+    assert 200 < len(got) < 400 and len(set(got)) == len(got)
+    assert any("<b>" in p for p in got) and any("<p>" in p for p in got)
+
+
 def test_reader():
     dom = parse('<p title="a>b">x &eacute;<p>y<br>z<script>if (a<b) "</p>"</script></i><ul><li>1<li>2</ul><!-- <b>no</b> -->&lt;')
     assert [t for t in dom.text if t] == ["x é", "y", "z", "1", "2", "<"]
