@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datatrawl.llm.common import by_share, unused
-from datatrawl.llm.dom import BLOCK, RAW, TEXT, Dom, parse
+from datatrawl.llm.dom import BLOCK, FALLBACK, HIDDEN, RAW, TEXT, Dom, parse
 from datatrawl.llm.tokens import slices
 
 SAMPLE_PAGES = 400      # pages that the weights are fitted on, about
@@ -33,7 +33,11 @@ SLICE_BYTES = 1 << 20
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset("nav footer aside header form button input menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-INLINE = frozenset("b i em strong span u small sub sup code mark font q cite abbr time".split())
+INLINE = frozenset(
+    "b i em strong span u small sub sup code mark font q cite abbr time "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd menclose semantics annotation annotation-xml".split())
+NO_TEXT = RAW | HIDDEN | FALLBACK
 BOILER_HINT = re.compile(
     r"\b(nav\w*|menus?|header|footer|side-?bar|aside|notices?|cookies?|consent|banner|ads?|advert\w*|promo\w*|"
     r"sponsor\w*|form|comments?|respond|repl(?:y|ies)|disqus|share|sharing|social|related|subscribe|newsletter|"
@@ -45,7 +49,7 @@ KINDS = ("page", "content", "boiler", "heading", "paragraph", "link", "list", "i
 _KIND = {"p": "paragraph", "pre": "paragraph", "blockquote": "paragraph", "td": "paragraph", "a": "link",
          "ul": "list", "ol": "list", "li": "list", "dl": "list", "#page": "page", TEXT: "text",
          **{t: "content" for t in CONTENT_TAGS}, **{t: "boiler" for t in BOILER_TAGS},
-         **{t: "heading" for t in HEADINGS}, **{t: "inline" for t in INLINE}, **{t: "raw" for t in RAW}}
+         **{t: "heading" for t in HEADINGS}, **{t: "inline" for t in INLINE}, **{t: "raw" for t in NO_TEXT}}
 _KIND = {t: KINDS.index(k) for t, k in _KIND.items()}
 _BLOCK_KIND = KINDS.index("block")
 RAW_KIND = KINDS.index("raw")
@@ -192,7 +196,7 @@ def self_labels(dom: Dom) -> list[int] | None:
     state = [0] * len(dom.parent)
     for k in range(1, len(dom.parent)):
         up, tag = dom.parent[k], dom.tag[k]
-        boiler = tag in BOILER_TAGS or tag in RAW or bool(dom.hint[k] and BOILER_HINT.search(dom.hint[k]))
+        boiler = tag in BOILER_TAGS or tag in NO_TEXT or bool(dom.hint[k] and BOILER_HINT.search(dom.hint[k]))
         if boiler or state[up] < 0:
             state[k] = -1
         else:

@@ -74,6 +74,34 @@ def test_reader():
     assert [dom.tag[k] for k in range(len(dom.tag)) if dom.tag[k] != TEXT] == ["#page", "p", "p", "br", "script", "ul", "li", "li"]
 
 
+@pytest.mark.parametrize("tag", [
+    "<svg viewBox='0 0 1 1'/>", "<svg><title/><path d=x /><style>a</svg>", "<svg><title>Icon</title><text>no</text></svg>", "<svg><g>",
+    "<math/>", "<select><option>no<option>no", "<select name=a><option>no</option></select>", "<object data=x>",
+    "<object data=x><p>no</p></object>", "<noscript><img src=x>", "<noscript><p>no</p></noscript>", "<template>",
+    "<template><div>no</div><ul><li>no</ul></template>", "<object/>", "<script>no</script>", "<textarea>no</textarea>",
+    "<iframe src=x>no</iframe>"])
+@pytest.mark.parametrize("outside", [False, True])
+def test_only_what_is_in_hidden_elements_is_left_out(model, tag, outside):
+    one, two = "This is a sentence of the text.", "And this one comes after it, with more words in it."
+    inner = "" if outside else tag
+    page = f"<body>{tag if outside else ''}<article><p>{one}</p>{inner}<p>{two}</p></article><p><svg><g/></svg></p></body>"
+    assert model.main_texts([page]) == [f"{one} {two}"]
+
+
+def test_formulas_are_kept(model):
+    formula = "<math><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow></math>"
+    assert model.main_texts([f"<article><p>It holds that {formula} here.</p></article>"]) == ["It holds that x2=4 here."]
+    assert [t for t in parse("<p>a <object>b<p>c</object> d").text if t] == ["a ", " d"]
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 30_000 + "<p>", "<math><mi>" * 20_000 + "<p>x", "<object><p>" * 20_000, "<select>" * 30_000,
+                                  "<p><noscript>" + "<div>" * 30_000, "<svg><foreignObject>" * 10_000 + "<p>x" * 10_000])
+def test_odd_hidden_elements_end_soon(page):
+    start = time.process_time()
+    parse(page)
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("page", ["<" * 200_000, "<b>" * 20_000 + "</i>" * 20_000, '<a href="' * 30_000, "<!--" * 50_000,
                                   "<script>" * 30_000, "<p>x" * 30_000, "<a '" * 30_000 + '"', "</p" * 50_000])
 def test_odd_pages_end_soon(model, page):
