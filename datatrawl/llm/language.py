@@ -24,7 +24,7 @@ SLICE_BYTES = 1 << 20  # text whose windows are computed at once
 
 @dataclass
 class LanguageModel:
-    """`net` is None if no label was to be had; then every text is UNKNOWN."""
+    """`net` is None with one language, which every text then has, or with none: UNKNOWN."""
 
     langs: list[str]
     net: ByteNet | None
@@ -35,7 +35,7 @@ class LanguageModel:
         Windows vote with their probabilities, weighted by the bytes that they hold.
         """
         if self.net is None:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [*self.langs, UNKNOWN][:1] * len(texts), np.full(len(texts), float(len(self.langs)))
         window = self.net.shape.window
         total = np.zeros((len(texts), len(self.langs)))
         for at, run in slices(texts, SLICE_BYTES):
@@ -67,8 +67,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.approx_count_distinct(mark)).collect()}
     langs = sorted(counts)
     shape = shape or Shape(widths=(2, 3, 5), classes=max(2, len(langs)))
-    if not langs:
-        return LanguageModel([], None)
+    if len(langs) < 2:
+        return LanguageModel(langs, None)
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / max(1, counts[k])))]),
                          F.col(lang))
     picked = known.filter(by_share(F.col(mark), share)).select(

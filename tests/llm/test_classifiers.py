@@ -79,6 +79,14 @@ def test_language_of_odd_rows(spark, tables):
     assert language.identify(odd.documents(spark, odd.ROWS).limit(0), model).count() == 0
 
 
+def test_one_language(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "en") for k in range(20)] + [(30, "...", None)],
+                                 "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs)).collect()
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id < 30} == {("en", 1.0)}
+    assert [(r.lang_pred, r.score) for r in got if r.doc_id == 30] == [("und", 0.0)]
+
+
 def test_language_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
     rows = [(None, f"{k} mot {k * 7} un {k}", "fr") for k in range(6000)]
     rows += [(77, f"{k} word {k * 3} one {k}", "en") for k in range(3000)] + [(5, "always the same", "en")] * 3000
