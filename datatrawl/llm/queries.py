@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datatrawl.llm import (
-    decontamination, html_text, jaccard, language, licenses, packing, quality, tokens, topk, toxicity)
+    decontamination, html_text, jaccard, language, licenses, packing, periods, quality, tokens, topk, toxicity)
 from datatrawl.llm.common import read_table
 
 
@@ -58,6 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    return periods.digest(periods.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
