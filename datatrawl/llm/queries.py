@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datatrawl.llm import (
-    decontamination, html_text, jaccard, language, licenses, packing, periods, quality, tokens, topk, toxicity)
+    decontamination, html_text, jaccard, language, licenses, packing, periods, prefix_trie, quality, tokens,
+    topk, toxicity, vectors)
 from datatrawl.llm.common import read_table
 
 
@@ -58,6 +59,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periods.with_planted_runs(read_table(spark, sf_dir, "documents"))
     return periods.digest(periods.periodic_runs(docs))
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_near_vectors": op12_near_vectors,
     "op13_runs": op13_runs,
 }
 
@@ -81,4 +92,6 @@ ORACLES: dict[str, str] = {
     "op7_jaccard": jaccard.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_near_vectors": vectors.ORACLE,
 }
