@@ -162,6 +162,8 @@ FROM supplier
 FIXTURES["org_gazetteer"] = """
 SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS phrase, 'organization' AS major_type
 FROM benchmark
+UNION ALL
+SELECT 'blue river' AS phrase, 'organization' AS major_type
 """
 
 FIXTURES["gazetteer"] = """
@@ -181,7 +183,10 @@ SELECT doc_id, text || ' Maps were ' || CASE WHEN doc_id % 2 = 0 THEN 'created'
   || CASE doc_id % 5 WHEN 3 THEN 'eBay Inc, iPhone Maker Ltd and X-Ray Labs Inc''s heirs' WHEN 4
      THEN 'One Two Three Four Five Six Seven University Ltd Friends' ELSE
      CASE doc_id % 3 WHEN 0 THEN 'Ohio State University' WHEN 1 THEN 'Acme Data Inc, formerly ACME Data Ltd' ELSE 'the council' END END
-  || ' for all. Thanks.' AS text
+  || ' for all. Thanks. Dr. A. B. Smith of the ' || CASE doc_id % 7 WHEN 0 THEN 'Institute of Maps and Data' WHEN 1 THEN 'Smith & Jones Inc'
+     WHEN 2 THEN 'Department of Ohio State University' WHEN 3 THEN 'Ministry for the Sea''s board' WHEN 4 THEN 'blue river Data Institute'
+     WHEN 5 THEN 'Land and Water Council of Acme Data Inc and Rio Bank' ELSE 'Society' END
+  || ' is ' || CASE WHEN doc_id % 3 = 0 THEN 'creating' ELSE 'mapping' END || ' 3.5 maps, e.g. of roads.' AS text
 FROM documents
 """
 

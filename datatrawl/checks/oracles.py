@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datatrawl import fixed
 from datatrawl.checks.fixtures import with_fixtures
+from datatrawl.operators import text
 
 ORACLES: dict[str, str] = {}
 
@@ -144,13 +145,34 @@ def _tokens_of(docs: str) -> str:
       WHERE regexp_matches(piece, '^[\p{{L}}\p{{N}}]')"""
 
 
+_SHORT = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(fixed.ABBREVIATIONS) + r"|\p{Lu})"
+_CLOSERS = r"""["'')\]]*[ \t\r\n\f]*"""
+
+
 def _sentences_of(docs: str) -> str:
-    return rf"""SELECT doc_id, CAST(e - length(piece) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end",
-        piece AS sentence
-      FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e
-        FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-          FROM (SELECT doc_id, regexp_extract_all(text,
-                  '[^.!?]*[.!?]+[ \t\r\n\f]*|[^.!?]+$') AS p FROM {docs})))"""
+    """Pieces up to any stop; a piece that a lone full stop doesn't end goes on with the next."""
+    return rf"""SELECT doc_id, CAST(min(e - length(piece)) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end",
+        string_agg(piece, '' ORDER BY i) AS sentence
+      FROM (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS nth
+        FROM (SELECT *, coalesce(lag(goes_on) OVER (PARTITION BY doc_id ORDER BY i), false) AS glued
+          FROM (SELECT *, sum(length(piece)) OVER w AS e, regexp_matches(piece, '(?:^|[^.!?])\.{_CLOSERS}$') AND (
+                regexp_matches(piece, '{_SHORT}\.{_CLOSERS}$')
+                OR (piece LIKE '%.' AND regexp_matches(lead(piece) OVER w, '^[\p{{L}}\p{{N}}]'))
+                OR (regexp_matches(piece, '^\p{{L}}\.{_CLOSERS}$') AND lag(piece) OVER w LIKE '%.')) AS goes_on
+            FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+{_CLOSERS}|[^.!?]+$') AS p FROM {docs}))
+            WINDOW w AS (PARTITION BY doc_id ORDER BY i))))
+      GROUP BY doc_id, nth"""
+
+
+_RULES = ", ".join(f"{{'s': '{s}', 'r': '{r}'}}" for s, r in sorted(fixed.ROOT_RULES.items(), key=lambda x: -len(x[0])))
+
+
+def _rooted(token: str) -> str:
+    root = "left(lower(token), length(token) - length(x.s)) || x.r"
+    return f"""CASE WHEN regexp_matches(token, '^[A-Za-z]+$') THEN list_filter(list_transform(
+      list_filter([{_RULES}], lambda x: ends_with(lower(token), x.s)), lambda x: {root}),
+      lambda r: length(r) >= {fixed.ROOT_LETTERS} AND regexp_matches(r, '[aeiouy]'))[1] END""".replace("token", token)
 
 
 _BLANKS = r"regexp_replace({}, '[ \t\r\n\f]+', ' ', 'g')"
@@ -178,32 +200,47 @@ def _lookup_in(docs: str, gazetteer: str, tokens: str = "all_tokens") -> dict[st
     }
 
 
-_ENDING = "^(?:" + "|".join(fixed.ORGANIZATION_SUFFIXES) + r")(?:[^\p{L}\p{N}]|$)"
+_END = "|".join(fixed.ORGANIZATION_SUFFIXES)
+_TAIL = r"(?:[^\p{L}\p{N}]|$)"
+_LETTERS = (
+    (f"^(?:{'|'.join(fixed.ORGANIZATION_KINDS)})$", "K"), (f"^(?:{'|'.join(fixed.LEGAL_FORMS)})$", "L"),
+    (f"^(?:{_END}){_TAIL}", "T"), (r"^\p{Lu}", "U"), ("^(?:of|for)$", "o"), ("^the$", "t"), ("^(?:and|&)$", "a"))
 
 
 def _orgs_in(docs: str) -> dict[str, str]:
-    """Words with a running number; a run of capitalised ones is an island of them."""
+    """Words of a clause as rows, their letters as one string, names cut from it and put back."""
     steps = _lookup_in(docs, "org_gazetteer")
-    steps["worded"] = rf"""SELECT *, regexp_matches(piece, '^\p{{Lu}}') AS capital,
-        sum(length(piece)) OVER w - length(piece) AS begun, lag(piece) OVER w AS gap, lag(piece, 2) OVER w AS previous
-      FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-        FROM (SELECT doc_id, regexp_extract_all(text,
-            '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}&''-]*|[^\p{{L}}\p{{N}}]+') AS p FROM {docs}))
-      WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
-    steps["runs"] = r"""SELECT *, sum(CASE WHEN gap = ' ' AND regexp_matches(previous, '^\p{Lu}') THEN 0 ELSE 1 END)
-        OVER (PARTITION BY doc_id ORDER BY i) AS run
-      FROM worded WHERE capital"""
-    steps["ended"] = f"""SELECT doc_id, run, min(begun) AS start, arg_max(begun, i) AS last_begun, arg_max(piece, i) AS last
-      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS nth,
-              max(CASE WHEN regexp_matches(piece, '{_ENDING}') THEN i END) OVER (PARTITION BY doc_id, run) AS stop
-            FROM runs)
-      WHERE i <= stop GROUP BY doc_id, run HAVING max(nth) > 1"""
-    steps["named"] = rf"""SELECT e.doc_id, CAST(start AS BIGINT) AS start,
-        substring(text, CAST(start + 1 AS BIGINT), CAST(last_begun - start AS BIGINT))
-          || regexp_extract(last, '^(?:{"|".join(fixed.ORGANIZATION_SUFFIXES)})') AS text
-      FROM ended e JOIN {docs} d ON d.doc_id = e.doc_id"""
+    word = r"[\p{L}\p{N}][\p{L}\p{N}&''-]*"
+    steps["clauses"] = rf"""SELECT * FROM (
+        SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS begun
+        FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, '{word}(?: (?:{word}|&))*|[^\p{{L}}\p{{N}}]+') AS p FROM {docs})))
+      WHERE regexp_matches(piece, '(?:^| )(?:{_END}){_TAIL}')"""
+    cases = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN '{name}'" for pattern, name in _LETTERS)
+    steps["clause_words"] = f"""SELECT *, CASE {cases} ELSE 'w' END AS letter,
+        begun + sum(length(w) + 1) OVER (PARTITION BY doc_id, i ORDER BY k) - length(w) - 1 AS at
+      FROM (SELECT doc_id, i, begun, unnest(string_split(piece, ' ')) AS w,
+              generate_subscripts(string_split(piece, ' '), 1) AS k FROM clauses)"""
+    steps["spelled"] = f"""SELECT doc_id, i, array_to_string(list_transform(
+          regexp_extract_all(string_agg(letter, '' ORDER BY k), '{text.SUFFIXED}'),
+          lambda x: CASE WHEN NOT regexp_matches(x, '[KLT]$') THEN x WHEN x = 'K' THEN 'e' WHEN length(x) = 1 THEN 'f'
+            ELSE repeat('N', length(x) - 1) || CASE WHEN right(x, 1) = 'K' THEN 'E' ELSE 'F' END END), '') AS codes
+      FROM clause_words GROUP BY doc_id, i"""
+    steps["cut_names"] = f"""SELECT *, sum(length(n)) OVER (PARTITION BY doc_id, i ORDER BY nth) - length(n) AS before
+      FROM (SELECT doc_id, i, unnest(p) AS n, generate_subscripts(p, 1) AS nth
+        FROM (SELECT doc_id, i, regexp_extract_all(codes, '{text.NAMES}') AS p FROM spelled))"""
+    steps["named"] = rf"""SELECT n.doc_id, CAST(f.at AS BIGINT) AS start, n.before > 0 AS inner_name,
+        substring(d.text, CAST(f.at + 1 AS BIGINT), CAST(z.at - f.at AS BIGINT)) || CASE
+          WHEN regexp_matches(z.w, '^(?:{_END}){_TAIL}') THEN regexp_extract(z.w, '^(?:{_END})')
+          ELSE regexp_replace(z.w, '(?:''s)?[''&-]*$', '') END AS text
+      FROM cut_names n JOIN clause_words f ON f.doc_id = n.doc_id AND f.i = n.i AND f.k = n.before + 1
+      JOIN clause_words z ON z.doc_id = n.doc_id AND z.i = n.i AND z.k = n.before + length(n.n)
+      JOIN {docs} d ON d.doc_id = n.doc_id WHERE regexp_matches(n.n, '[EF]|^eo')"""
+    steps["headed"] = """SELECT doc_id, "end" + 1 AS at, min(start) AS head_start, arg_min(text, start) AS head
+      FROM lookups GROUP BY doc_id, "end" """
     steps["orgs"] = """SELECT doc_id, start, "end", text FROM lookups
-      UNION SELECT doc_id, start, CAST(start + length(text) AS BIGINT), text FROM named"""
+      UNION SELECT n.doc_id, coalesce(head_start, start), CAST(start + length(text) AS BIGINT), coalesce(head || ' ' || text, text)
+      FROM named n LEFT JOIN headed h ON h.doc_id = n.doc_id AND h.at = n.start AND n.inner_name"""
     return steps
 
 
@@ -211,10 +248,10 @@ def _authors_in(docs: str) -> dict[str, str]:
     return {
         **_orgs_in(docs),
         "all_sentences": _sentences_of(docs),
-        "speaking": """SELECT DISTINCT s.doc_id, s.start, s."end" FROM all_sentences s
+        "speaking": f"""SELECT DISTINCT s.doc_id, s.start, s."end" FROM all_sentences s
           JOIN all_tokens t ON t.doc_id = s.doc_id AND t.start < s."end" AND s.start < t."end"
           LEFT JOIN lemmas l ON l.form = lower(t.token)
-          WHERE coalesce(l.root, t.token) = 'create'""",
+          WHERE coalesce(l.root, {_rooted('t.token')}, t.token) = 'create'""",
         "publishing": """SELECT DISTINCT o.doc_id, o.text AS author FROM orgs o JOIN speaking s
           ON s.doc_id = o.doc_id AND s.start < o."end" AND o.start < s."end" """,
     }
@@ -362,7 +399,7 @@ _add("page_documents", ["pages_org"],
 _add("tokens", [], 'SELECT doc_id, start, "end", token FROM t', {"t": _tokens_of("documents")})
 _add("sentences", [], 'SELECT doc_id, start, "end", md5(sentence) AS sentence FROM s',
      {"s": _sentences_of("documents")})
-_add("token_roots", ["lemmas"], """SELECT doc_id, start, "end", token, coalesce(l.root, token) AS root
+_add("token_roots", ["lemmas"], f"""SELECT doc_id, start, "end", token, coalesce(l.root, {_rooted("token")}, token) AS root
   FROM t LEFT JOIN lemmas l ON l.form = lower(t.token)""", {"t": _tokens_of("documents")})
 _add("gazetteer_lookup", ["gazetteer"], "SELECT * FROM lookups", _lookup_in("documents", "gazetteer"))
 _add("format_mentions", ["gazetteer"],

@@ -57,7 +57,31 @@ ENTITIES = (
     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 )
 
+# Words that say what kind of organization a name is; the legal forms only end one.
+ORGANIZATION_KINDS = (
+    "University", "Institute", "Agency", "Department", "Council", "Bureau", "Ministry", "Commission",
+    "Society", "Association", "Foundation", "Laboratory",
+)
+LEGAL_FORMS = ("Inc", "Ltd", "Corporation", "Corp", "LLC", "GmbH")
+
 # Last words that mark a run of capitalised words as an organization.
-ORGANIZATION_SUFFIXES = (
-    "University", "Institute", "Agency", "Department", "Council", "Inc", "Ltd", "Corporation",
+ORGANIZATION_SUFFIXES = ORGANIZATION_KINDS + LEGAL_FORMS
+
+# Words whose full stop doesn't end a sentence.
+ABBREVIATIONS = (
+    "Dr", "Mr", "Mrs", "Ms", "Prof", "Rev", "Gen", "Sen", "St", "Mt", "No", "Nos", "Vol", "Fig", "Dept",
+    "Univ", "approx", "ca", "cf", "vs", "al",
 )
+
+# Endings of inflected words and what stands in their place; of several the longest counts.
+ROOT_RULES = {
+    "s": "", "ss": "ss", "us": "us", "is": "is", "ies": "y", "sses": "ss", "shes": "sh", "ches": "ch", "xes": "x",
+    "ed": "", "ied": "y", "eed": "eed", "ated": "ate", "uted": "ute", "ized": "ize", "ised": "ise", "ided": "ide",
+    "uced": "uce", "osed": "ose", "iled": "ile", "ired": "ire", "ured": "ure", "ared": "are", "ved": "ve", "nged": "nge",
+    "pped": "p", "tted": "t", "nned": "n", "gged": "g", "mmed": "m", "rred": "r", "dded": "d",
+    "ing": "", "ying": "y", "thing": "thing", "ating": "ate", "uting": "ute", "izing": "ize", "ising": "ise",
+    "iding": "ide", "ucing": "uce", "osing": "ose", "iling": "ile", "iring": "ire", "uring": "ure", "aring": "are",
+    "ving": "ve", "nging": "nge", "pping": "p", "tting": "t", "nning": "n", "gging": "g", "mming": "m", "rring": "r",
+    "dding": "d",
+}
+ROOT_LETTERS = 3  # of a root by the rules, at least; one is a vowel

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datatrawl import fixed
+
 _WORD = r"[\p{L}\p{N}]"
 _GAP = r"[^\p{L}\p{N}]"
 # A block starts with a word and ends behind a gap, so no word lies in two blocks.
 WORD_BLOCKS = rf"(?s){_GAP}*{_WORD}+(?:.{{0,500}}{_GAP}+)?"
 WORD_PIECES = rf"{_GAP}*{_WORD}+"
-_SENTENCE = r"[^.!?]*[.!?]+[ \t\r\n\f]*"
-SENTENCE_BLOCKS = rf"(?:{_SENTENCE}){{1,64}}|[^.!?]+\z"
-SENTENCE_PIECES = rf"{_SENTENCE}|[^.!?]+\z"
+# A lone full stop goes on with the sentence behind an abbreviation, an initial or a letter that
+# follows another stop, and before a letter or digit.
+_SHORT = rf"(?<={_GAP}(?:{'|'.join(fixed.ABBREVIATIONS)})|^(?:{'|'.join(fixed.ABBREVIATIONS)})|{_GAP}\p{{Lu}}|^\p{{Lu}}|\.\p{{L}})"
+_INNER_STOP = rf"(?:{_SHORT}\.(?![.!?])|(?<![.!?])\.(?={_WORD}))"
+_SENTENCE = rf"(?:[^.!?]++|{_INNER_STOP})*+[.!?]++[\"')\]]*+[ \t\r\n\f]*+"
+SENTENCE_BLOCKS = rf"(?:{_SENTENCE}){{1,64}}|(?s:.)+\z"
+SENTENCE_PIECES = rf"{_SENTENCE}|(?s:.)+\z"
 
 
 def _running(values: Column, start: Column, length, kind: str) -> Column:
@@ -22,7 +28,7 @@ def _running(values: Column, start: Column, length, kind: str) -> Column:
         (state["at"] + length(v)).alias("at"), F.array_append(state["done"], state["at"]).alias("done")))
 
 
-def _starts(pieces: Column, start: Column) -> Column:
+def starts(pieces: Column, start: Column) -> Column:
     """Where each of some consecutive pieces begins, the first one at `start`.
 
     Appending copies an array, so sums run over groups of about the square root of all pieces, and
@@ -47,7 +53,7 @@ def with_offsets(df: DataFrame, keep: list[str], pieces: Column, start: Column,
                  name: str = "pieces") -> DataFrame:
     """Columns `keep` and the pieces as an array of (start, text)."""
     found = df.select(*keep, pieces.alias("_text"), start.alias("_from"))
-    placed = found.select(*keep, "_text", _starts(F.col("_text"), F.col("_from")).alias("_start"))
+    placed = found.select(*keep, "_text", starts(F.col("_text"), F.col("_from")).alias("_start"))
     return placed.select(*keep, F.arrays_zip(F.col("_start").alias("start"),
                                              F.col("_text").alias("text")).alias(name))
 
@@ -62,25 +68,33 @@ def piece_rows(df: DataFrame, keep: list[str], pieces: Column, start: Column) ->
         *keep, F.explode_outer("pieces").alias("p")).filter(F.col("p").isNotNull())
 
 
-def text_blocks(docs: DataFrame, pattern: str, look_ahead: int = 0) -> DataFrame:
-    """Cut each text in short blocks: doc_id, block_start, block, ahead.
+def text_blocks(docs: DataFrame, pattern: str) -> DataFrame:
+    """Cut each text in short blocks: doc_id, block_start, block, behind.
 
     A row per block keeps the running sums of long texts cheap, and spreads one long text over
-    tasks if the result is repartitioned. `ahead` is the text of the next `look_ahead` blocks.
+    tasks if the result is repartitioned. `behind` is the gap that the block before ends with.
     """
     blocks = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
     laid_out = with_offsets(docs, ["doc_id"], blocks, F.lit(0), "blocks")
-    if look_ahead:
-        following = F.transform("blocks", lambda b, i: F.struct(
-            b["start"].alias("start"), b["text"].alias("text"),
-            F.array_join(F.transform(F.slice("blocks", i + 2, look_ahead),
-                                     lambda n: n["text"]), "").alias("ahead")))
-    else:
-        following = F.transform("blocks", lambda b: F.struct(
-            b["start"].alias("start"), b["text"].alias("text"), F.lit("").alias("ahead")))
+    before = lambda i: F.coalesce(F.get(F.col("blocks"), i - 1)["text"], F.lit(""))
+    following = F.transform("blocks", lambda b, i: F.struct(
+        b["start"].alias("start"), b["text"].alias("text"),
+        F.regexp_extract(before(i), rf"({_GAP}*+)\z", 1).alias("behind")))
     rows = laid_out.select("doc_id", F.explode_outer(following).alias("b"))
     return rows.filter(F.col("b").isNotNull()).select("doc_id", F.col("b.start").alias("block_start"),
-                       F.col("b.text").alias("block"), F.col("b.ahead").alias("ahead"))
+                       F.col("b.text").alias("block"), F.col("b.behind").alias("behind"))
+
+
+def root_by_rules(token: Column) -> Column:
+    """The root of an inflected word of ASCII letters by its longest known ending, else null."""
+    word = F.lower(token)
+    rules = F.create_map(*(F.lit(x) for pair in fixed.ROOT_RULES.items() for x in pair))
+    found = []
+    for n in sorted({len(e) for e in fixed.ROOT_RULES}, reverse=True):
+        new = F.try_element_at(rules, F.right(word, F.lit(n)))
+        root = F.concat(F.substring(word, F.lit(1), F.length(word) - n), new)
+        found.append(F.when((F.length(word) >= n) & (F.length(root) >= fixed.ROOT_LETTERS) & root.rlike("[aeiouy]"), root))
+    return F.when(token.rlike("^[A-Za-z]+$"), F.coalesce(*found))
 
 
 def without_leading_gap(piece: Column) -> Column:

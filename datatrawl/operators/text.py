@@ -5,12 +5,15 @@ Tokenising and the rules for organizations are this engine's own definitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datatrawl import fixed
 from datatrawl.functions import text as tx
 from datatrawl.operators.joins import salted_join
+from datatrawl.session import stage
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -27,7 +30,11 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """Pieces up to closing punctuation and the blanks behind it: doc_id, start, end, sentence."""
+    """Sentences with the closing punctuation, quotes and blanks behind them: doc_id, start, end, sentence.
+
+    A full stop doesn't end one behind an abbreviation, an initial or a letter of "e.g." or "U.S.",
+    nor within a number or an address.
+    """
     blocks = tx.text_blocks(docs, tx.SENTENCE_BLOCKS)
     pieces = F.regexp_extract_all("block", F.lit(f"({tx.SENTENCE_PIECES})"), 1)
     rows = tx.piece_rows(blocks, ["doc_id"], pieces, F.col("block_start"))
@@ -37,13 +44,16 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def token_roots(token_rows: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Add the root of each token: its lemma, or the token itself."""
+    """Add the root of each token: its lemma, else what the rules for endings give, else the token.
+
+    The lemmas are thus the exceptions to the rules.
+    """
     # Of several roots of a form the first in order counts.
     forms = lemmas.groupBy(F.lower("form").alias("_form")).agg(F.min("root").alias("root"))
     keyed = token_rows.withColumn("_form", F.lower("token"))
     return (
         salted_join(keyed, forms, "_form", "left")
-        .select(*token_rows.columns, F.coalesce("root", "token").alias("root"))
+        .select(*token_rows.columns, F.coalesce("root", tx.root_by_rules(F.col("token")), "token").alias("root"))
     )
 
 
@@ -67,50 +77,60 @@ def phrase_lengths(gazetteer: DataFrame) -> list[int]:
     return sorted(row.n for row in counts.collect())
 
 
+def phrase_trie(gazetteer: DataFrame) -> DataFrame:
+    """The gazetteer as a trie by words: `parent`, `piece`, `node`, `word`.
+
+    A node is a prefix of phrases, known by its hash; the root is the empty one. `piece` is the word
+    that leads to it with the gap before, white space as one blank.
+    """
+    key = gazetteer.select(_phrase_key("phrase").alias("phrase")).distinct()
+    pieces = F.regexp_extract_all("phrase", F.lit(f"({tx.WORD_PIECES})"), 1)
+    steps = key.select(pieces.alias("pieces")).select("pieces", F.posexplode("pieces").alias("i", "piece"))
+    upto = lambda n: F.xxhash64(F.array_join(F.slice("pieces", F.lit(1), n), ""))
+    return steps.select(upto(F.col("i")).alias("parent"), "piece", upto(F.col("i") + 1).alias("node"),
+                        tx.without_leading_gap(F.col("piece")).alias("word")).distinct()
+
+
 def gazetteer_lookup(docs: DataFrame, gazetteer: DataFrame, lengths: list[int] | None = None,
                      longest_only: bool = True) -> DataFrame:
     """Spans whose words are a phrase of the gazetteer: doc_id, start, end, text, major_type.
 
     Words must be parted as in the phrase; any white space counts as one blank. Of the phrases
     that begin at one place the longest is kept.
+
+    All places walk the trie of the phrases together, a word in each round, and only those that
+    are still on a path go on; so a word costs the same however long the longest phrase is. The
+    rounds end when no place is left, or after the last of `lengths` if given.
     """
-    lengths = phrase_lengths(gazetteer) if lengths is None else sorted(lengths)
-    spans_schema_source = docs.select("doc_id")
-    if not lengths:
-        return spans_schema_source.limit(0).selectExpr(
-            "doc_id", "cast(0 as bigint) start", "cast(0 as bigint) `end`",
-            "cast(null as string) text", "cast(null as string) major_type")
-    longest = lengths[-1]
-    blocks = tx.text_blocks(docs, tx.WORD_BLOCKS, look_ahead=longest - 1)
-    next_words = F.regexp_extract("ahead", rf"^(?:{tx.WORD_PIECES}){{0,{longest - 1}}}", 0)
-    pieces = F.regexp_extract_all(F.concat("block", next_words), F.lit(f"({tx.WORD_PIECES})"), 1)
-    blocks = blocks.withColumn("block_end", F.col("block_start") + F.length("block"))
-    laid_out = tx.with_offsets(
-        blocks, ["doc_id", "block_end"], pieces, F.col("block_start"), "words")
-    texts = laid_out.select("doc_id", "block_end", F.col("words.start").alias("starts"),
-                            F.col("words.text").alias("texts"))
-    # Each word beside the ones behind it; there are none behind the last.
-    shifted = [F.slice("texts", F.lit(k + 1), F.size("texts")).alias(f"t{k}")
-               for k in range(longest)]
-    rows = texts.select("doc_id", "block_end", F.explode_outer(
-        F.arrays_zip(F.col("starts").alias("at"), *shifted)).alias("w"))
-    words = rows.filter(F.col("w").isNotNull()).select(
-        "doc_id", "block_end", (F.col("w.at") + F.length("w.t0")).alias("first_end"),
-        tx.without_leading_gap(F.col("w.t0")).alias("t0"),
-        *(F.col(f"w.t{k}").alias(f"t{k}") for k in range(1, longest))
-    ).withColumn("start", F.col("first_end") - F.length("t0"))
-    # The gap at a block's end goes with the word behind it, which belongs to the next block.
-    words = words.filter(F.col("start") < F.col("block_end"))
-    runs = F.array(*(F.concat(*(f"t{k}" for k in range(n))) for n in lengths))
-    spans = words.select("doc_id", "start", F.explode(runs).alias("text")).filter(
-        F.col("text").isNotNull()).select(
-        "doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text",
-        _blanks_as_one(F.col("text")).alias("_phrase"))
-    phrases = gazetteer.select(
-        _phrase_key("phrase").alias("_phrase"), "major_type").distinct()
-    hits = salted_join(spans, phrases, "_phrase").select(
-        "doc_id", "start", "end", "text", "major_type")
-    if longest_only and len(lengths) > 1:
+    trie = stage(phrase_trie(gazetteer))
+    blocks = tx.text_blocks(docs, tx.WORD_BLOCKS)
+    pieces = F.regexp_extract_all(F.concat("behind", "block"), F.lit(f"({tx.WORD_PIECES})"), 1)
+    rows = tx.piece_rows(blocks, ["doc_id"], pieces, F.col("block_start") - F.length("behind"))
+    word = tx.without_leading_gap(F.col("p.text"))
+    words = rows.select("doc_id", F.col("p.start").alias("begin"), (F.col("p.start") + F.length("p.text")).alias("end"),
+                        F.col("p.text").alias("piece"), word.alias("word"))
+    # Other words are on no path.
+    words = stage(words.join(trie.select("word").distinct(), "word", "left_semi"))
+    root = F.xxhash64(F.lit(""))
+    first = trie.filter(F.col("parent") == root).select("node", "word")
+    paths = words.join(first, "word").select(
+        "doc_id", (F.col("end") - F.length("word")).alias("start"), "end", F.col("word").alias("text"), "node")
+    step = words.select("doc_id", F.col("begin").alias("end"), F.col("end").alias("next"), F.col("piece").alias("more"),
+                        _blanks_as_one(F.col("piece")).alias("piece"))
+    edges = trie.filter(F.col("parent") != root).select(F.col("parent").alias("node"), "piece", F.col("node").alias("to"))
+    walked = []
+    most = max(lengths, default=0) if lengths is not None else None
+    while most is None or len(walked) < most:
+        paths = stage(paths)
+        if paths.isEmpty():
+            break
+        walked.append(paths)
+        paths = paths.join(step, ["doc_id", "end"]).join(edges, ["node", "piece"]).select(
+            "doc_id", "start", F.col("next").alias("end"), F.concat("text", "more").alias("text"), F.col("to").alias("node"))
+    spans = reduce(DataFrame.unionByName, walked or [paths.limit(0)]).withColumn("_phrase", _blanks_as_one(F.col("text")))
+    phrases = gazetteer.select(_phrase_key("phrase").alias("_phrase"), "major_type").distinct()
+    hits = spans.join(phrases, "_phrase").select("doc_id", "start", "end", "text", "major_type")
+    if longest_only and len(walked) > 1:
         here = Window.partitionBy("doc_id", "start")
         hits = hits.withColumn("_longest", F.max("end").over(here)).filter(
             F.col("end") == F.col("_longest")).drop("_longest")
@@ -147,12 +167,84 @@ def suffix_organizations(docs: DataFrame) -> DataFrame:
         "doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
+# What a word is to the grammar of names: Kind, Legal form, one of both with a tail (T), other
+# capitalised word (U), of and for, the, and, any other word.
+_KIND = "|".join(fixed.ORGANIZATION_KINDS)
+_ENDING = "|".join(fixed.ORGANIZATION_SUFFIXES)
+WORD_CLASSES = (
+    (f"^(?:{_KIND})$", "K"), (f"^(?:{'|'.join(fixed.LEGAL_FORMS)})$", "L"), (rf"^(?:{_ENDING})(?![\p{{L}}\p{{N}}])", "T"),
+    (r"^\p{Lu}", "U"), ("^(?:of|for)$", "o"), ("^the$", "t"), ("^(?:and|&)$", "a"), ("", "w"),
+)
+# First phase: a run of capitalised words up to its last kind or legal form is a name of its own
+# (N..E after a kind, N..F after another; alone e, f). Second phase: names go on with "of ...", and
+# what is joined to them by "and" belongs to them.
+SUFFIXED = "[UKL]*[KLT]|[UKL]+|."
+_OF = "ot?(?:N+[EF]|U+(?:aU+)?)"
+NAMES = f"(?:(?:U+a)?N+E|e)(?:{_OF})+|(?:U+a)?N+[EF]|U+|."
+
+
+def grammar_organizations(docs: DataFrame) -> DataFrame:
+    """Names of organizations by a grammar over classes of words: doc_id, start, end, text, inner.
+
+    A clause is a row of words parted by one blank, an "&" between them too. Its words become a
+    string of class letters, which the rules above cut in two phases; of the names that begin at a
+    word the longest by the rules counts, and the search goes on behind it. `inner` tells that a
+    word of the clause stands before the name.
+    """
+    more = r"[\p{L}\p{N}&'-]*+"
+    word = rf"[\p{{L}}\p{{N}}]{more}"
+    clause = rf"{word}(?: (?:{word}|&))*+"
+    pieces = F.regexp_extract_all("text", F.lit(rf"({clause}|[^\p{{L}}\p{{N}}]++)"), 1)
+    # Every name has a kind or a legal form in it, and most clauses have none.
+    some = rf"(?:^| )(?:{_ENDING})(?![\p{{L}}\p{{N}}])"
+    telling = docs.filter(F.col("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{_ENDING})(?![\p{{L}}\p{{N}}])"))
+    clauses = tx.piece_rows(telling, ["doc_id"], pieces, F.lit(0)).filter(F.col("p.text").rlike(some)).select(
+        "doc_id", F.col("p.start").alias("start"), F.split("p.text", " ").alias("w"))
+
+    def letter(w: Column) -> Column:
+        out = F.lit(WORD_CLASSES[-1][1])
+        for pattern, name in reversed(WORD_CLASSES[:-1]):
+            out = F.when(w.rlike(pattern), name).otherwise(out)
+        return out
+
+    def suffixed(run: Column) -> Column:
+        n, kind = F.length(run), run.endswith("K")
+        return F.when(~run.rlike("[KLT]$"), run).when(n == 1, F.when(kind, "e").otherwise("f")).otherwise(
+            F.concat(F.repeat(F.lit("N"), n - 1), F.when(kind, "E").otherwise("F")))
+
+    letters = F.array_join(F.transform("w", letter), "")
+    phase1 = F.array_join(F.transform(F.regexp_extract_all(letters, F.lit(f"({SUFFIXED})"), 1), suffixed), "")
+    offsets = tx.starts(F.transform("w", lambda w: F.concat(w, F.lit(" "))), F.col("start"))
+    coded = clauses.select("doc_id", "w", offsets.alias("at"), phase1.alias("codes"))
+    cut = tx.with_offsets(coded, ["doc_id", "w", "at"], F.regexp_extract_all("codes", F.lit(f"({NAMES})"), 1), F.lit(0), "names")
+
+    def name(p: Column) -> Column:
+        first, n = p["start"].cast("int"), F.length(p["text"])
+        last = F.get("w", first + n - 1)
+        tail = F.when(last.rlike(rf"^(?:{_ENDING})(?![\p{{L}}\p{{N}}])"), F.regexp_extract(last, f"^({_ENDING})(?![\\p{{L}}\\p{{N}}])", 1)).otherwise(
+            F.regexp_replace(last, "(?:'s)?['&-]*$", ""))
+        return F.struct(F.get("at", first).alias("start"), (first > 0).alias("inner"), F.concat(
+            F.array_join(F.slice("w", first + 1, n - 1), " "), F.lit(" "), tail).alias("text"))
+
+    found = F.transform(F.filter("names", lambda p: p["text"].rlike("[EF]|^eo")), name)
+    return cut.select("doc_id", F.explode(found).alias("n")).select(
+        "doc_id", "n.start", (F.col("n.start") + F.length("n.text")).alias("end"), "n.text", "n.inner")
+
+
 def organizations(docs: DataFrame, gazetteer: DataFrame,
                   lengths: list[int] | None = None) -> DataFrame:
-    """Organization spans: phrases of that type, and names by their last word."""
+    """Organization spans: phrases of that type, and names by the grammar.
+
+    A listed phrase one blank before a name by the grammar is the head of it.
+    """
     listed = gazetteer.filter(F.col("major_type") == "organization")
-    named = gazetteer_lookup(docs, listed, lengths).select("doc_id", "start", "end", "text")
-    return named.unionByName(suffix_organizations(docs)).distinct()
+    phrases = gazetteer_lookup(docs, listed, lengths).select("doc_id", "start", "end", "text")
+    heads = phrases.groupBy("doc_id", (F.col("end") + 1).alias("start")).agg(
+        F.min("start").alias("head_start"), F.min_by("text", "start").alias("head")).withColumn("inner", F.lit(True))
+    names = grammar_organizations(docs).join(heads, ["doc_id", "start", "inner"], "left").select(
+        "doc_id", F.coalesce("head_start", "start").alias("start"), "end",
+        F.coalesce(F.concat("head", F.lit(" "), "text"), "text").alias("text"))
+    return phrases.unionByName(names).distinct()
 
 
 def org_aliases(orgs: DataFrame) -> DataFrame:
