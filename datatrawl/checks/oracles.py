@@ -460,6 +460,7 @@ _add("spatial_extent", ["metadata_nested"], "SELECT * FROM extents", _xml_steps(
 
 _add("known_urls_anti", ["frontier", "stored_urls"], """SELECT * FROM frontier f
   WHERE NOT EXISTS (SELECT 1 FROM stored_urls k WHERE k.url = f.url)""")
+ORACLES["known_urls_filtered"] = ORACLES["known_urls_anti"]
 _UNION = f"""{_SEEDS} UNION ALL SELECT parent_url, url, source, from_queue FROM ({_SEARCH})
   UNION ALL SELECT parent_url, url, source, from_queue FROM ({_LEGACY})"""
 _FIRST = """SELECT parent_url, url, source, from_queue FROM {0} QUALIFY row_number() OVER (
@@ -483,6 +484,19 @@ _add("expand_one_hop", ["frontier", "pages_linked"], f"""SELECT DISTINCT l.seed_
     AND l.resolved <> {_form('l.seed_url')}""",
      _LINKED)
 
+_add("expand_three_hops", ["frontier", "pages_linked"], f"""SELECT seed AS parent_url, page AS url, source,
+    FALSE AS from_queue, CAST(min(level) AS INTEGER) AS level FROM hops WHERE level > 0 GROUP BY seed, page, source""", {
+    **_LINKED,
+    "formed": f"SELECT seed_url AS page, {_form('resolved')} AS resolved FROM linked",
+    "stored": f"SELECT {_form('url')} AS form, min(url) AS page FROM pages GROUP BY 1",
+    "hops": f"""SELECT url AS seed, source, url AS page, 0 AS level FROM frontier WHERE from_queue
+      UNION SELECT h.seed, h.source, p.page, h.level + 1 FROM hops h JOIN formed l ON l.page = h.page
+      JOIN stored p ON p.form = l.resolved
+      WHERE h.level < 3 AND starts_with(lower(l.resolved), regexp_extract(h.seed, '^([a-z]+://[^/?#:]*)', 1))
+        AND NOT regexp_matches(lower(l.resolved), '{_MEDIA}') AND l.resolved <> {_form('h.seed')}""",
+})
+ORACLES["expand_three_hops"] = ORACLES["expand_three_hops"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 def _routed(pages: str) -> dict[str, str]:
     return {

@@ -18,6 +18,7 @@ from datatrawl.operators import text as tx
 from datatrawl.operators import tree as tr
 from datatrawl.operators.authors import authors, publisher_orgs, title_orgs
 from datatrawl.operators.overlap import as_b, overlap_join
+from datatrawl.operators.url_filter import build_filter, merge_filters
 from datatrawl.plans.catalogue import Catalogue
 from datatrawl.plans.extraction import extract
 from datatrawl.plans.inputs import Inputs
@@ -362,6 +363,13 @@ def known_urls_anti(d: Data) -> DataFrame:
     return fr.known_urls_anti(d.frontier, d.stored_urls)
 
 
+@query
+def known_urls_filtered(d: Data) -> DataFrame:
+    """By the merged filters of two parts of what is stored."""
+    parts = [build_filter(d.stored_urls.filter(F.col("id") % 2 == k)) for k in (0, 1)]
+    return fr.known_urls_anti(d.frontier, d.stored_urls, merge_filters(parts[0].unionByName(parts[1])))
+
+
 @query
 def union_frontier(d: Data) -> DataFrame:
     return fr.union_frontier(seed_urls(d), search_urls(d), legacy_search_urls(d))
@@ -378,6 +386,12 @@ def expand_one_hop(d: Data) -> DataFrame:
     return fr.expand_one_hop(seeds, mk.links(d.pages_linked), d.pages_linked)
 
 
+@query
+def expand_three_hops(d: Data) -> DataFrame:
+    seeds = pg.page_scan(d.frontier.filter("from_queue"), d.pages_linked)
+    return fr.expand(seeds, mk.links(d.pages_linked), d.pages_linked, depth=3)
+
+
 @query
 def route(d: Data) -> DataFrame:
     return fr.route(fr.first_per_url(d.frontier), d.stored_urls, d.pages_gis, _downloads(d))

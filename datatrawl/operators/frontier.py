@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datatrawl.functions import urls as u
+from datatrawl.operators.url_filter import with_maybe
+from datatrawl.session import stage
 
 _COLUMNS = ("parent_url", "url", "source", "from_queue")
 
@@ -39,9 +41,18 @@ def first_per_url(frontier: DataFrame) -> DataFrame:
     return first.select("f.parent_url", "url", "f.source", "f.from_queue")
 
 
-def known_urls_anti(frontier: DataFrame, tab_url: DataFrame) -> DataFrame:
-    """Leave out URLs that are stored already."""
-    return frontier.join(tab_url.select("url"), "url", "left_anti").select(*frontier.columns)
+def known_urls_anti(frontier: DataFrame, tab_url: DataFrame, url_filter: DataFrame | None = None) -> DataFrame:
+    """Leave out URLs that are stored already.
+
+    With `url_filter` (see `operators.url_filter`) only the URLs it may hold meet `tab_url`; the
+    others are surely new and are not shuffled. The rows are the same.
+    """
+    stored = tab_url.select("url")
+    if url_filter is None:
+        return frontier.join(stored, "url", "left_anti").select(*frontier.columns)
+    marked = with_maybe(frontier, url_filter)
+    possible = marked.filter("_maybe").join(stored, "url", "left_anti")
+    return marked.filter("not _maybe").unionByName(possible).select(*frontier.columns)
 
 
 def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
@@ -53,10 +64,11 @@ def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
     known = tab_url.select("url").distinct().withColumn("_known", F.lit(True))
     fetched = pages.select("url", "page_id")
     linked = downloads.select("page_id").distinct().withColumn("_linked", F.lit(True))
-    facts = (
-        frontier.join(known, "url", "left").join(fetched, "url", "left")
-        .join(linked, "page_id", "left")
-    )
+    facts = frontier.join(known, "url", "left").join(fetched, "url", "left")
+    # Rows without a page would all go to one task; a second key that no page has spreads them.
+    spread = F.when(F.col("page_id").isNull(), F.xxhash64("url")).otherwise(F.lit(0).cast("long"))
+    linked = linked.withColumn("_spread", F.lit(0).cast("long"))
+    facts = facts.withColumn("_spread", spread).join(linked, ["page_id", "_spread"], "left")
     outcome = (
         F.when(F.col("_known"), "known")
         .when(F.col("page_id").isNull(), "unfetchable")
@@ -67,6 +79,37 @@ def route(frontier: DataFrame, tab_url: DataFrame, pages: DataFrame,
     return facts.select(*frontier.columns, "page_id", outcome.alias("outcome"))
 
 
+def expand(seeds: DataFrame, links: DataFrame, pages: DataFrame, depth: int = 1,
+           exact_host: bool = False, exact_url: bool = False) -> DataFrame:
+    """Sub-pages within `depth` links of the seeds: frontier columns and `level` (from 1).
+
+    As `expand_one_hop`, from level to level: only the pages that the last level brought are looked
+    at, and a page that a seed has reached already is left out, so a cycle ends. Each level is
+    written once; the work ends early when a level brings nothing.
+    """
+    form = (lambda url: url) if exact_url else u.crawl_form
+    stored = stage(pages.groupBy(form(F.col("url")).alias("url")).agg(
+        F.min("url").alias("page_url"), F.min_by("page_id", "url").alias("page_id")))
+    last = seeds.select("page_id", F.col("url").alias("seed_url"), F.col("url").alias("page_url"), "source")
+    levels: list[DataFrame] = []
+    for level in range(1, depth + 1):
+        targets = last.join(links.select("page_id", "href"), "page_id").select(
+            "seed_url", "source",
+            form(u.resolve_link(F.col("page_url"), F.col("href"), rfc3986=True)).alias("url"))
+        wanted = not_media(same_site(targets, exact_host)).filter(
+            F.col("url") != form(F.col("seed_url"))).distinct()
+        for before in levels:
+            wanted = wanted.join(before.select("seed_url", "source", "url"), ["seed_url", "source", "url"], "left_anti")
+        found = stage(wanted.join(stored, "url").withColumn("level", F.lit(level)))
+        if found.isEmpty():
+            break
+        levels.append(found)
+        last = found.select("page_id", "seed_url", "page_url", "source")
+    every = reduce(DataFrame.unionByName, levels) if levels else found
+    return every.select(F.col("seed_url").alias("parent_url"), F.col("page_url").alias("url"), "source",
+                        F.lit(False).alias("from_queue"), "level")
+
+
 def expand_one_hop(seeds: DataFrame, links: DataFrame, pages: DataFrame,
                    exact_host: bool = False,
                    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
@@ -86,7 +129,8 @@ def expand_one_hop(seeds: DataFrame, links: DataFrame, pages: DataFrame,
         form(u.resolve_link(F.col("seed_url"), F.col("href"), rfc3986=True)).alias("url"))
     wanted = keep(not_media(same_site(targets, exact_host)).filter(
         F.col("url") != form(F.col("seed_url"))).distinct())
-    stored = pages.groupBy(form(F.col("url")).alias("url")).agg(F.min("url").alias("page_url"))
+    # Written, so that the join shuffles both sides and a URL that many pages link to is split.
+    stored = stage(pages.groupBy(form(F.col("url")).alias("url")).agg(F.min("url").alias("page_url")))
     return wanted.join(stored, "url").select(
         F.col("seed_url").alias("parent_url"), F.col("page_url").alias("url"), "source",
         F.lit(False).alias("from_queue"))

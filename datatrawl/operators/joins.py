@@ -1,7 +1,8 @@
 """A join for thin lookups that holds up when one key has a large share of the rows.
 
 Joins of two large tables carry no hint and no salt: adaptive execution splits the partitions of
-a hot key for inner, left, semi and anti joins.
+a hot key, if the join shuffles both sides itself. A side that is an aggregate by the join's key
+keeps its own partitioning and can't be split, so such sides are written first (`stage`).
 """
 
 from __future__ import annotations

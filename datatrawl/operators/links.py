@@ -15,21 +15,18 @@ def download_links(links: DataFrame, probes: DataFrame) -> DataFrame:
 
     `links` has page_id, url (of the page) and href. A link counts if its lower-cased target ends
     with a known suffix, or if it holds one (case counts) and was probed as a listed type. Only
-    the second kind has to find its probe; the first gets a key that no probe has.
+    the second kind has to find its probe.
     """
     candidates = links.select(
         "page_id", u.resolve_link(F.col("url"), F.col("href")).alias("target"),
         u.ends_with_download_suffix(F.col("href")).alias("_sure"),
         u.contains_download_suffix(F.col("href")).alias("_maybe"),
     ).filter((F.col("_sure") | F.col("_maybe")) & F.col("target").isNotNull())
-    keyed = candidates.withColumn(
-        "_probe", F.when(F.col("_sure"), F.concat(F.lit("-"), F.col("target")))
-        .otherwise(F.col("target"))).distinct()
-    archives = probes.filter(F.col("content_type").isin(*fixed.DOWNLOAD_MIME_TYPES)).select(
-        F.col("url").alias("_probe")).distinct().withColumn("_archive", F.lit(True))
-    probed = keyed.join(archives, "_probe", "left")
-    return probed.filter(F.col("_sure") | F.col("_archive")).select(
-        "page_id", F.col("target").alias("url")).distinct()
+    # One row for each pair before the join, as a distinct behind it would keep a hot URL together.
+    pairs = candidates.groupBy("page_id", F.col("target").alias("url")).agg(F.max("_sure").alias("_sure"))
+    archives = probes.filter(F.col("content_type").isin(*fixed.DOWNLOAD_MIME_TYPES)).select("url")
+    sure, probed = pairs.filter("_sure"), pairs.filter("not _sure").join(archives, "url", "left_semi")
+    return sure.select("page_id", "url").unionByName(probed.select("page_id", "url"))
 
 
 def metadata_page(links: DataFrame, probes: DataFrame) -> DataFrame:
@@ -41,9 +38,8 @@ def metadata_page(links: DataFrame, probes: DataFrame) -> DataFrame:
     candidates = links.filter(named).select(
         "page_id", "ord",
         u.resolve_metadata_link(F.col("url"), F.col("href")).alias("target"))
-    xml = probes.filter(F.col("content_type").endswith("/xml")).select(
-        F.col("url").alias("target")).distinct()
-    hits = candidates.filter(u.is_valid_url(F.col("target"))).join(xml, "target")
+    xml = probes.filter(F.col("content_type").endswith("/xml")).select(F.col("url").alias("target"))
+    hits = candidates.filter(u.is_valid_url(F.col("target"))).join(xml, "target", "left_semi")
     return hits.groupBy("page_id").agg(F.min_by("target", "ord").alias("url"))
 
 

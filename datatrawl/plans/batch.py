@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from datatrawl.plans.catalogue import Catalogue
+from datatrawl.plans.counts import RunCounts
 from datatrawl.plans.extraction import extract
 from datatrawl.plans.inputs import Inputs
 from datatrawl.plans.store import Store
@@ -25,6 +26,8 @@ def run_batch(store: Store, batch_id: int, frontier: DataFrame, inputs: Inputs,
     last = {name: store.table(name, batch_id) for name in (
         "tab_abstract", "tab_format", "tab_authors", "tab_title", "tab_spatialextent")}
     inputs = replace(inputs, tab_url=store.table("tab_url", batch_id).drop("batch_id"),
-                     tab_links=store.table("tab_links", batch_id).drop("batch_id"))
-    batch = Catalogue(extract(frontier, inputs), inputs, last, match_on, keep=stage)
-    return store.commit_batch(batch_id, batch.tables())
+                     tab_links=store.table("tab_links", batch_id).drop("batch_id"),
+                     url_filter=store.url_filter())
+    counts = RunCounts()
+    batch = Catalogue(extract(frontier, inputs, counts=counts), inputs, last, match_on, keep=stage, counts=counts)
+    return store.commit_batch(batch_id, batch.tables(), counts)

@@ -16,6 +16,7 @@ from datatrawl.operators.authors import authors
 from datatrawl.operators.ids import dense_ids, highest_id
 from datatrawl.operators.markup import feature_documents, feature_links
 from datatrawl.operators.tree import html_tree
+from datatrawl.plans.counts import RunCounts
 from datatrawl.plans.extraction import Pass
 from datatrawl.plans.inputs import Inputs
 
@@ -58,9 +59,9 @@ class Catalogue:
 
     def __init__(self, found: Pass, inputs: Inputs, last: dict[str, DataFrame] | None = None,
                  match_on: str = "raw",
-                 keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+                 keep: Callable[[DataFrame], DataFrame] = lambda df: df, counts: RunCounts | None = None) -> None:
         self.found, self.inputs, self.last = found, inputs, last or {}
-        self.match_on, self.keep = match_on, keep
+        self.match_on, self.keep, self.counts = match_on, keep, counts
 
     @cached_property
     def urls(self) -> DataFrame:
@@ -72,8 +73,8 @@ class Catalogue:
     @cached_property
     def links(self) -> DataFrame:
         known = self.inputs.tab_links
-        return self.keep(ln.assign_link_ids(
-            ln.match_known_links(self.found.downloads, known), known))
+        links = ln.assign_link_ids(ln.match_known_links(self.found.downloads, known), known)
+        return self.keep(self.counts.links(links) if self.counts else links)
 
     @cached_property
     def filed(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datatrawl import fixed, schemas
+from datatrawl.session import stage
 from datatrawl.sources.seeds import as_frontier
 
 _NO_STATUS = 2**63 - 1
@@ -50,22 +51,26 @@ def legacy_search_urls(responses: DataFrame) -> DataFrame:
 
 def expand_urls(frontier: DataFrame, redirects: DataFrame) -> DataFrame:
     """Follow one redirect: url becomes its location, if it has one; of several the first in order."""
-    known = redirects.filter(F.col("location").isNotNull()).groupBy("url").agg(
-        F.min("location").alias("location"))
+    # Written, so that the join shuffles both sides and a short URL of many rows is split.
+    known = stage(redirects.filter(F.col("location").isNotNull()).groupBy("url").agg(
+        F.min("location").alias("location")))
     expanded = frontier.join(known, "url", "left")
     return expanded.withColumn("url", F.coalesce("location", "url")).select(*frontier.columns)
 
 
+def response_cursors(parsed: DataFrame) -> DataFrame:
+    """What each good response makes of its term: term, response_id, since_id, max_id, last_count."""
+    ids = F.transform("statuses", lambda s: s["id_str"].cast("bigint"))
+    return parsed.filter(~F.col("is_bad")).select(
+        "term", "response_id", F.col("max_id_str").cast("bigint").alias("since_id"),
+        (F.coalesce(F.array_min(ids), F.lit(_NO_STATUS)) - 1).alias("max_id"),
+        F.col("result_count").alias("last_count"))
+
+
 def search_cursor(parsed: DataFrame) -> DataFrame:
     """State of each term after its newest response: since_id, max_id, last_count."""
-    ids = F.transform("statuses", lambda s: s["id_str"].cast("bigint"))
-    per_response = parsed.filter(~F.col("is_bad")).select(
-        "term", "response_id",
-        F.struct(
-            F.col("max_id_str").cast("bigint").alias("since_id"),
-            (F.coalesce(F.array_min(ids), F.lit(_NO_STATUS)) - 1).alias("max_id"),
-            F.col("result_count").alias("last_count")).alias("state"))
-    newest = per_response.groupBy("term").agg(F.max_by("state", "response_id").alias("s"))
+    state = F.struct("since_id", "max_id", "last_count")
+    newest = response_cursors(parsed).groupBy("term").agg(F.max_by(state, "response_id").alias("s"))
     return newest.select("term", "s.since_id", "s.max_id", "s.last_count")
 
 

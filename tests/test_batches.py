@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from datatrawl.operators.frontier import first_per_url
+from datatrawl.operators.url_filter import with_maybe
 from datatrawl.plans.batch import run_batch
 from datatrawl.plans.inputs import Inputs
 from datatrawl.plans.store import Store
 from datatrawl.sources.search import parse_search_payload, search_cursor
 from datatrawl.sources.seeds import seed_urls_stream
-from datatrawl.streaming.cursors import read_cursors, run_cursor_stream
-from datatrawl.streaming.frontier_stream import dedupe_stream, run_frontier_stream
+from datatrawl.streaming.cursors import read_cursor_state, read_cursors, run_cursor_state, run_cursor_stream
+from datatrawl.streaming.frontier_stream import cached_dedupe_stream, dedupe_stream, run_frontier_stream
 from datatrawl.streaming.recheck import recheck
 from datatrawl.streaming.seeds import run_seed_stream
 
@@ -70,16 +71,29 @@ def test_batches_follow_each_other(spark, inputs, tmp_path):
     assert second["tab_url_link_map"] == [(1, 1), (2, 1), (2, 2)]
     assert [r[0] for r in second["tab_title"]] == [1, 2]
 
+    # counts were taken while the tables were written; the filter knows what is stored
+    counts = {r.batch_id: (r.n_urls, r.n_stored, r.n_subpages, r.n_links, r.n_new_links) for r in store.run_counts().collect()}
+    assert counts == {0: (4, 1, 2, 1, 1), 1: (2, 1, 0, 2, 1)}
+    known = spark.createDataFrame([("http://h/sub",), ("http://o/x",), ("http://new/",)], "url string")
+    assert {r.url: r._maybe for r in with_maybe(known, store.url_filter()).collect()} == {
+        "http://h/sub": True, "http://o/x": True, "http://new/": False}
+
     # a batch that is there already is left alone
     assert not run_batch(store, 1, frontier(spark, "http://o/later"), inputs)
-    assert snapshot(store) == second
+    assert snapshot(store) == second and store.run_counts().count() == 2
 
     probes = spark.createDataFrame([("http://h/sub", 404, None)], "url string, http_code int, error string")
     assert recheck(store, probes, 0)
     assert {r.url: r.status for r in store.current_tab_url().collect()} == {"http://h/sub": 3, "http://o/x": 3}
     alive = spark.createDataFrame([("http://h/sub", 200, None)], "url string, http_code int, error string")
     assert recheck(store, alive, 1) and not recheck(store, alive, 1)
-    assert {r.url: r.status for r in store.current_tab_url().collect()} == {"http://h/sub": 0, "http://o/x": 3}
+    current = {r.url: r.status for r in store.current_tab_url().collect()}
+    assert current == {"http://h/sub": 0, "http://o/x": 3}
+    # a merged table stands for the versions up to it
+    assert store.merge_status(1) and not store.merge_status(1) and not store.merge_status(9)
+    assert {r.url: r.status for r in store.current_tab_url().collect()} == current
+    assert recheck(store, probes, 2)
+    assert {r.url: r.status for r in store.current_tab_url().collect()} == {"http://h/sub": 3, "http://o/x": 3}
 
 
 def test_unmarked_batches_do_not_show(spark, tmp_path):
@@ -171,3 +185,45 @@ def test_cursor_stream_equals_batch(spark, tmp_path):
         run_cursor_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = search_cursor(parse_search_payload(spark.read.schema(schema).parquet(folder)))
     assert sorted(read_cursors(spark, str(tmp_path / "out")).collect()) == sorted(batch.collect())
+
+
+def test_cursor_state_equals_batch_and_survives_restarts(spark, tmp_path):
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "response_id long, term string, payload string"
+
+    def payload(i):
+        return (i, f"t{i % 2}", '{"statuses":[{"id_str":"%d","entities":{"urls":[]}}],'
+                '"search_metadata":{"max_id_str":"%d","count":%d}}' % (i, i + 5, i % 3))
+
+    for part in ([payload(1), payload(2)], [payload(3)], [payload(8), payload(5)], [payload(4), (9, "t1", "{}")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        run_cursor_state(spark.readStream.schema(schema).parquet(folder), state).awaitTermination()
+    batch = search_cursor(parse_search_payload(spark.read.schema(schema).parquet(folder)))
+    assert sorted(read_cursor_state(spark, state).collect()) == sorted(batch.collect())
+
+
+def test_cached_dedupe_forgets_by_time_and_size(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "url string, ts timestamp, n int"
+
+    def feed(name, *rows):
+        df = spark.createDataFrame([(u, t, n) for u, t, n in rows], "url string, t long, n int")
+        df.select("url", F.timestamp_seconds("t").alias("ts"), "n").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        kept = cached_dedupe_stream(stream, time_to_live=100, idle=30, entries=3, buckets=1)
+        query = (kept.writeStream.format("parquet").option("path", str(tmp_path / name))
+                 .option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sorted((r.n, r.url) for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    assert feed("a", ("a", 0, 0), ("a", 5, 1), ("b", 6, 2), (None, 7, 3)) == [(0, "a"), (2, "b")]
+    # b was idle too long; a is kept alive until its time is up
+    got = feed("a", ("a", 20, 4), ("b", 40, 5), ("a", 45, 6), ("a", 70, 7), ("a", 95, 8), ("a", 101, 9))
+    assert got == [(0, "a"), (2, "b"), (5, "b"), (9, "a")]
+    # beyond three entries the one seen longest ago goes
+    got = feed("a", ("c", 102, 10), ("d", 103, 11), ("a", 104, 12), ("e", 105, 13), ("c", 106, 14), ("a", 107, 15))
+    assert [n for n, _ in got[4:]] == [10, 11, 13, 14]
+    state = spark.read.format("statestore").load(str(tmp_path / "a-state"))
+    assert [len(r.value.groupState.url) for r in state.collect()] == [3]
+    # a fresh checkpoint goes over all files to the same rows
+    assert feed("again", ("z", 108, 16)) == sorted([*got, (16, "z")])
