@@ -1,7 +1,9 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Each DOM node is content or not. A node's own features (tag, class and id, length of text, share
-of links) give its potential; a parent and a child share one that depends on the child's kind. On
+Each DOM node is content or not. A node's own features (tag, class and id, length of text, and of
+containers the share of links) give its potential; a parent and a child share one that depends on
+the child's kind. Links are inline nodes like bold text: a paragraph or list item may be all link,
+it is the container around it that tells an article from a menu. On
 the tree, one upward and one downward pass of sum-product messages give exact marginals; the passes
 run over all nodes of a level, of many pages at once. Weights are fitted to labelled pages by
 gradient of the likelihood, around prior weights.
@@ -41,25 +43,29 @@ NO_TEXT = RAW | HIDDEN | FALLBACK
 BOILER_HINT = re.compile(
     r"\b(nav\w*|menus?|header|footer|side-?bar|aside|notices?|cookies?|consent|banner|ads?|advert\w*|promo\w*|"
     r"sponsor\w*|form|comments?|respond|repl(?:y|ies)|disqus|share|sharing|social|related|subscribe|newsletter|"
-    r"breadcrumbs?|pop-?up|modal|widget|pager|pagination|login|search|copyright|toolbar)\b")
+    r"breadcrumbs?|discussions?|feedback|pop-?up|modal|widget|pager|pagination|login|search|copyright|toolbar)\b")
 CONTENT_HINT = re.compile(r"\b(article|content|main|post|entry|story|body|text)\b")
 
 # Kinds of nodes, each with its own parent-child potential.
-KINDS = ("page", "content", "boiler", "heading", "paragraph", "link", "list", "inline", "block", "text", "raw")
-_KIND = {"p": "paragraph", "pre": "paragraph", "blockquote": "paragraph", "td": "paragraph", "a": "link",
-         "ul": "list", "ol": "list", "li": "list", "dl": "list", "#page": "page", TEXT: "text",
+KINDS = ("page", "content", "boiler", "heading", "paragraph", "item", "list", "inline", "block", "text", "raw")
+_KIND = {"p": "paragraph", "pre": "paragraph", "blockquote": "paragraph", "td": "paragraph", "a": "inline",
+         "ul": "list", "ol": "list", "li": "item", "dt": "item", "dd": "item", "dl": "list", "#page": "page", TEXT: "text",
          **{t: "content" for t in CONTENT_TAGS}, **{t: "boiler" for t in BOILER_TAGS},
          **{t: "heading" for t in HEADINGS}, **{t: "inline" for t in INLINE}, **{t: "raw" for t in NO_TEXT}}
 _KIND = {t: KINDS.index(k) for t, k in _KIND.items()}
 _BLOCK_KIND = KINDS.index("block")
 RAW_KIND = KINDS.index("raw")
+# Kinds that may be all link in an article as in a menu; their surroundings tell.
+_UNTOLD = np.isin(KINDS, ("paragraph", "heading", "item"))
+_FIXED = np.isin(KINDS, ("list", "item", "inline"))   # kinds whose potential with the parent isn't learned
+_INLINE, _TEXT, _LIST, _ITEM = (KINDS.index(k) for k in ("inline", "text", "list", "item"))
 
 # Features: kind; hint of a class or id; text within by size; share of it in links.
 N_KINDS = len(KINDS)
 HINTS = ("none", "boiler", "content")
 SIZES = (0, 1, 20, 80, 300)
 LINKS = (0.0, 0.01, 0.4, 0.8)
-OFFSETS = np.cumsum([0, N_KINDS, len(HINTS), len(SIZES), len(LINKS)])
+OFFSETS = np.cumsum([0, N_KINDS, len(HINTS), len(SIZES), len(LINKS) + 1])   # the last: no container
 
 
 def prior_weights() -> np.ndarray:
@@ -68,7 +74,7 @@ def prior_weights() -> np.ndarray:
     w[KINDS.index("raw")] = -8.0
     w[OFFSETS[1] + 1], w[OFFSETS[1] + 2] = -4.0, 2.0
     w[OFFSETS[2]:OFFSETS[3]] = (0.0, -0.5, -0.2, 0.2, 0.6)
-    w[OFFSETS[3]:OFFSETS[4]] = (0.1, 0.0, -0.5, -1.5)
+    w[OFFSETS[3]:OFFSETS[4]] = (0.1, 0.0, -0.5, -1.5, 0.0)
     return w
 
 
@@ -79,6 +85,8 @@ def prior_pairs() -> np.ndarray:
     # A container may begin the content, and what is told apart may end it.
     pairs[KINDS.index("content"), 0] = (0.5, 0.5)
     pairs[KINDS.index("block"), 0] = (1.0, 0.0)
+    # What only follows its parent speaks for neither side.
+    pairs[_FIXED] = [[2.0, -2.0], [-2.0, 2.0]]
     return pairs
 
 
@@ -90,6 +98,7 @@ class Forest:
     kind: np.ndarray
     features: np.ndarray    # (nodes, 4): places in the weights
     levels: list[np.ndarray]
+    follows: np.ndarray     # inline nodes, their texts and items: no potential but that with the parent
 
 
 def forest(doms: list[Dom], plain: set[int] = frozenset()) -> Forest:
@@ -123,12 +132,17 @@ def forest(doms: list[Dom], plain: set[int] = frozenset()) -> Forest:
         parent[b] = -1
         kind[here], depth[here], chars[here], links[here] = kinds, level, size, linked
     share = links / np.maximum(chars, 1)
+    above = np.where(parent >= 0, parent, 0)
+    # A list of links is one of an article's own if what is around it is not mostly links.
+    within = (kind == _LIST) & (depth > 2) & (share[above] < LINKS[2])
+    follows = (kind == _INLINE) | ((kind == _TEXT) & (kind[above] == _INLINE)) | (((kind == _ITEM) | within) & (hint == 0))
+    untold = _UNTOLD[kind] | within
     features = np.column_stack([
         kind, OFFSETS[1] + hint, OFFSETS[2] + np.searchsorted(SIZES, chars, "right") - 1,
-        OFFSETS[3] + np.searchsorted(LINKS, share, "right") - 1])
+        OFFSETS[3] + np.where(untold, len(LINKS), np.searchsorted(LINKS, share, "right") - 1)])
     order = np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 1))
-    return Forest(parent, kind, features, np.split(order, cuts))
+    return Forest(parent, kind, features, np.split(order, cuts), follows)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -145,7 +159,7 @@ class PageModel:
         """Marginals of each node, and of each node with its parent (nodes, parent, child)."""
         n = len(f.parent)
         own = np.zeros((n, 2))                      # potential, then with all messages from below
-        own[:, 1] = self.weights[f.features].sum(1)
+        own[:, 1] = np.where(f.follows, 0.0, self.weights[f.features].sum(1))
         up = np.zeros((n, 2))                       # message to the parent
         for nodes in reversed(f.levels[1:]):
             up[nodes] = _lse(self.pairs[f.kind[nodes]] + own[nodes][:, None, :], 2)
@@ -217,6 +231,8 @@ def fit(pages: list[str], labels: list[list[int]] | None = None, epochs: int = 6
     y = np.concatenate([np.array(s) for _, s in known])
     f = forest(doms, plain=set(range(0, len(doms), 2)))
     child = np.flatnonzero(f.parent >= 0)
+    # A page as a whole is never content where there is markup, which tells nothing of pages without.
+    told = ~f.follows & (f.parent >= 0)
     seen = np.zeros_like(model.pairs)
     np.add.at(seen, (f.kind[child], y[f.parent[child]], y[child]), 1)
     n = len(doms)
@@ -226,8 +242,9 @@ def fit(pages: list[str], labels: list[list[int]] | None = None, epochs: int = 6
         marginal, both = model.infer(f)
         expected = np.zeros_like(seen)
         np.add.at(expected, f.kind[child], both[child])
+        expected[_FIXED] = seen[_FIXED]
         g_w = np.zeros_like(model.weights)
-        np.add.at(g_w, f.features, (y - marginal[:, 1])[:, None])
+        np.add.at(g_w, f.features[told], (y - marginal[:, 1])[told, None])
         for value, grad, first, square in zip((model.weights, model.pairs), (g_w, seen - expected), start, squares):
             grad = grad / n - pull * (value - first)
             square += grad * grad

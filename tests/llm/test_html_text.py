@@ -43,10 +43,28 @@ def test_pages_without_telling_tags(model):
     assert got == " ".join(f"A title {words * 3}".split())
 
 
+def test_linked_text_of_an_article_stays(model):
+    nav = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+    words = "A sentence of the article that goes on for some more words, as they do."
+    inside = {
+        "an inline link": f"<p>{words} See <a href=x>this</a> and more text.</p>",
+        "a paragraph that is a link": f"<p>{words}</p><p><a href=x>The whole of this paragraph</a></p><p>{words}</p>",
+        "a linked item": f"<p>{words}</p><ul><li><a href=x>first item</a></li><li>second item</li></ul>",
+        "many short links": "<p>" + " ".join(f"<a href=x{i}>word{i}</a> then" for i in range(20)) + "</p>",
+        "more link than text": f"<p><a href=x>{words} {words}</a></p><p>{words}</p><p><a href=y>{words}</a></p>",
+    }
+    for name, part in inside.items():
+        for page in (f"<html><body>{nav}<article><h1>A title</h1>{part}</article><footer><a href=/c>Contact</a> (c) us</footer></body></html>",
+                     f"<html><body>{nav}<main>{part}</main><section class='discussion'><p>{words}</p></section></body></html>"):
+            want = ("A title " if "<h1>" in page else "") + " ".join(re.sub(r"</?(?:a[^>]*)>", "", part).replace("<", " <").split())
+            want = " ".join(re.sub(r"<[^>]*>", " ", want).split())
+            assert model.main_texts([page])[0] == want, name
+
+
 def test_marginals_by_enumeration(model):
     dom = parse("<div><p>Some text here<a href=x>link</a></p><nav>menu</nav></div><p>more words, and more</p>")
     f = H.forest([dom])
-    own = model.weights[f.features].sum(1)
+    own = np.where(f.follows, 0, model.weights[f.features].sum(1))
     n = len(f.parent)
     total = np.zeros((n, 2))
     for state in itertools.product((0, 1), repeat=n):
