@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from datatrawl.session import stage
 
-__all__ = ["ascii_lower", "by_share", "held_out", "read_table", "row_key", "stage", "unused", "words"]
+__all__ = [
+    "ascii_lower", "by_share", "held_out", "labelled_sample", "read_table", "release", "row_key", "stage", "unused", "words"]
 
 # What separates words once A-Z are lower case: ASCII other than 0-9 and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,3 +56,35 @@ def unused(df: DataFrame, name: str) -> str:
     while name in taken:
         name = "_" + name
     return name
+
+
+def release(df: DataFrame) -> None:
+    """Empty a staged table that nothing reads any more, which gives its disk back."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int,
+                    folds: int, fold: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """About `sample_docs` documents of each label (`text`, `label`), staged, and how many there are.
+
+    Rows of one key and text are one document, however many there are, and the choice goes by a
+    hash of both; so the bound holds whatever the keys. Held-out documents, null texts and labels
+    but 0 and 1 are passed over; a document labelled twice counts with its larger label. Without
+    documents of both labels there is no sample.
+    """
+    # Written, so that the join shuffles both sides and a key of many rows is split.
+    known = stage(labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), folds, fold)).groupBy(
+        F.col(doc_id).alias("key")).agg(F.max(label).cast("int").alias("label")))
+    own = docs.filter(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("key"), F.xxhash64(doc_id, text).alias("mark"), F.col(text).alias("text"))
+    marked = stage(own.select("key", "mark").join(known, "key").groupBy("mark").agg(F.max("label").alias("label")))
+    counts = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return None, counts
+    part = F.when(F.col("label") == 1, min(1.0, sample_docs / counts[1])).otherwise(min(1.0, sample_docs / counts[0]))
+    # About two times `sample_docs` rows, however large the table.
+    picked = marked.filter(by_share(F.col("mark"), part))
+    return stage(own.select("mark", "text").join(F.broadcast(picked), "mark").dropDuplicates(["mark"]).select(
+        "text", "label")), counts

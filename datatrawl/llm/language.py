@@ -18,6 +18,7 @@ from datatrawl.llm.tokens import slices
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 500      # labelled documents a language that the network is fitted on, about
+MOST_LANGUAGES = 200   # values of the language column that are learned at most
 SAMPLE_WINDOWS = 4     # windows of each, evenly over its whole text
 SLICE_BYTES = 1 << 20  # text whose windows are computed at once
 
@@ -58,13 +59,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     At most about `sample_docs` documents a language are taken, chosen by a hash of the key and the
     text, and SAMPLE_WINDOWS windows of each; only those windows come to the driver. Rows with the
-    same key and text are one document, however many there are.
+    same key and text are one document, however many there are. Of more than MOST_LANGUAGES values
+    of `lang` those with the most documents are learned, ties by name.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()
                         & ~held_out(F.col(doc_id), FOLDS, HELD_OUT))
     mark = unused(docs, "sampled_by")
     known = known.withColumn(mark, F.xxhash64(doc_id, text))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.approx_count_distinct(mark)).collect()}
+    by_lang = known.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(mark).alias("n"))
+    counts = {r[0]: r[1] for r in by_lang.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    known = known.filter(F.col(lang).isin(*counts)) if counts else known
     langs = sorted(counts)
     shape = shape or Shape(widths=(2, 3, 5), classes=max(2, len(langs)))
     if len(langs) < 2:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from datatrawl.llm.bytenet import (
     ByteNet, Shape, arrow_bytes, repeat_flags, spread_windows, text_windows, to_rows)
-from datatrawl.llm.common import held_out
+from datatrawl.llm.common import held_out, labelled_sample
 from datatrawl.llm.tokens import slices
 
 FOLDS, HELD_OUT = 3, 1
@@ -54,21 +54,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
     """Learns from the labelled documents that are not held out.
 
-    About `sample_docs` documents of each label at most are taken, chosen by a hash of the key, and
-    SAMPLE_CHUNKS chunks of each; only those come to the driver. Null and other labels are passed
-    over; a document labelled twice counts with its larger label.
+    About `sample_docs` documents of each label at most are taken (see `labelled_sample`), and
+    SAMPLE_CHUNKS chunks of each; only those come to the driver.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id), FOLDS, HELD_OUT))
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    if len(counts) < 2:
+    sample, counts = labelled_sample(docs, labels, doc_id, text, label, sample_docs, FOLDS, HELD_OUT)
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    if sample is None:
         return QualityModel(None, share)
-    part = F.when(F.col(label) == 1, min(1.0, sample_docs / counts[1])).otherwise(min(1.0, sample_docs / counts[0]))
-    # About two times `sample_docs` rows, however large the table.
-    picked = known.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < part * (1 << 20)).groupBy(
-        F.col(doc_id).alias("key")).agg(F.max(label).alias("label"))
-    sample = docs.filter(F.col(text).isNotNull()).join(F.broadcast(picked), docs[doc_id] == F.col("key")).select(
-        "label", F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datatrawl.llm import transducers as W
-from datatrawl.llm.common import held_out, stage
+from datatrawl.llm.common import held_out, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 3000     # labelled documents of each label that stems are learned from, about
@@ -151,23 +151,6 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))), number
 
 
-def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
-            sample_docs: int) -> tuple[DataFrame | None, float]:
-    """About `sample_docs` documents of each label (`text`, `toxic`), written once, and the share
-    of label 1. Held-out documents, null texts and other labels are passed over."""
-    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id), FOLDS, HELD_OUT))
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 10)
-    if len(counts) < 2:
-        return None, share
-    part = F.when(F.col(label) == 1, min(1.0, sample_docs / counts[1])).otherwise(min(1.0, sample_docs / counts[0]))
-    # About two times `sample_docs` rows, however large the table.
-    picked = known.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < part * (1 << 20)).groupBy(
-        F.col(doc_id).alias("key")).agg(F.max(label).alias("toxic"))
-    return stage(docs.filter(F.col(text).isNotNull()).join(F.broadcast(picked), docs[doc_id] == F.col("key")).select(
-        F.col(text).alias("text"), "toxic")), share
-
-
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and stems that stand in toxic texts and hardly in others.
 
@@ -218,9 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Without rows of both labels the known words are all there is.
     """
     known = {w: KNOWN_WEIGHT for w in INSULTS}
-    sample, share = _sample(docs, labels, doc_id, text, label, sample_docs)
+    sample, counts = labelled_sample(docs, labels, doc_id, text, label, sample_docs, FOLDS, HELD_OUT)
     if sample is None:
         return ToxicityModel(Lexicon(known))
+    sample = sample.withColumnRenamed("label", "toxic")
+    share = (counts[1] + 1) / (sum(counts.values()) + 10)
     learned = learn_lexicon(sample)
     model = ToxicityModel(Lexicon({**known, **learned.words}, learned.stems))
     seen: dict[str, list[int]] = {}
