@@ -62,7 +62,8 @@ def release(df: DataFrame) -> None:
     """Empty a staged table that nothing reads any more, which gives its disk back."""
     files = df.inputFiles()
     if files:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+        nothing = df.sparkSession.range(0).select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in df.schema))
+        nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datatrawl.llm.common import stage, unused
+from datatrawl.llm.common import release, row_key, stage, unused
 from datatrawl.llm.components import components
 from datatrawl.llm.tokens import slices
 
@@ -35,11 +35,12 @@ SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
 NEAR = Fraction(8, 10)  # what near copies on five-word shingles take
 GROUPS = 128           # coordinates of a point
+MOST_GROUPS = 1024     # of a finer point, which has about as many coordinates as its set has shingles
 ROUNDS = 4             # rounds of comparing a cell's points with one of them, before trees
 LEAF = 32              # points of an R-tree leaf
 BLOCK = 2048           # points of a cell that one task searches; larger cells are cut in blocks
 BLOOM_BITS = 1 << 24   # of the filter that the second scan of the texts is thinned with
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,6 +152,36 @@ def may_link(a: np.ndarray, b: np.ndarray, threshold: Fraction = THRESHOLD) -> n
     return overlap * threshold.denominator >= union * threshold.numerator
 
 
+def fine_points(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Counts of each set in 128 to MOST_GROUPS groups (a power of two), by its size, as 16-bit numbers."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        groups = min(MOST_GROUPS, max(GROUPS, 1 << max(0, b - a - 1).bit_length()))
+        count = np.bincount((hashes[a:b] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        out.append(np.minimum(count, 65535).astype("<u2").tobytes() if count.max(initial=0) <= 65535 else b"")
+    return out
+
+
+def folded(point: bytes, groups: int) -> np.ndarray:
+    """The point in fewer groups: those that fall together are summed."""
+    return np.frombuffer(point, "<u2").astype(np.int32).reshape(-1, groups).sum(0)
+
+
+def may_link_finely(fine: list[bytes], a: np.ndarray, b: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """`may_link` of the points `a` and `b` (places in `fine`), each pair in as many groups as both have."""
+    size = np.array([len(p) // 2 for p in fine], np.int64)
+    groups = np.minimum(size[a], size[b])
+    out = np.ones(len(a), bool)     # without a point nothing is ruled out
+    for g in np.unique(groups[groups > 0]).tolist():
+        at = np.flatnonzero(groups == g)
+        need = np.unique(np.concatenate([a[at], b[at]]))
+        x = np.stack([folded(fine[k], g) for k in need.tolist()])
+        for part in np.array_split(at, max(1, len(at) * g >> 22)):
+            i, j = np.searchsorted(need, a[part]), np.searchsorted(need, b[part])
+            out[part] = may_link(x[i], x[j], threshold)
+    return out
+
+
 class RTree:
     """A packed R-tree over points: sorted tiles, boxes by level, the root last."""
 
@@ -228,8 +259,10 @@ class RTree:
 
 
 def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: Fraction) -> DataFrame:
-    """`id`, `n`, `node` (null for an empty set), `cells` (of the first row with an id of equal sets in a task)."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """`id`, `h`, `bytes` (of the text), `n`, `node` (null for an empty set), `cells` (of the first row with an id of equal sets in a task)."""
+    narrow = docs.select(
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("bytes"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -243,14 +276,17 @@ def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: F
                 cells = []
                 for i, node in enumerate(nodes.tolist()):
                     fresh = may[i] and node not in seen
-                    if fresh and len(seen) < 1 << 20:
+                    if fresh and len(seen) < 1 << 18:
                         seen.add(node)
                     cells.append(cell_keys(hashes[offsets[i]:offsets[i + 1]], threshold).view(np.int64) if fresh else None)
+                same = [batch.column(c).slice(at, len(run)) for c in ("h", "bytes")]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes), pa.array(nodes, mask=sizes == 0),
-                     pa.array(cells, pa.list_(pa.int64()))], ["id", "n", "node", "cells"])
+                    [ids, *same, pa.array(sizes), pa.array(nodes, mask=sizes == 0),
+                     pa.array(cells, pa.list_(pa.int64()))], ["id", "h", "bytes", "n", "node", "cells"])
+            # A worker shares its machine with the executor's own memory.
+            pa.default_memory_pool().release_unused()
 
-    return narrow.mapInArrow(index, "id long, n long, node long, cells array<long>")
+    return narrow.mapInArrow(index, "id long, h long, bytes int, n long, node long, cells array<long>")
 
 
 def node_names(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -272,7 +308,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """`node`, `point`, `hashes` (bytes) for the nodes of `wanted` (`node`, `id` of one text each).
+    """`node`, `point`, `fine`, `hashes` (bytes) for the nodes of `wanted` (`node`, `id` of one text each).
 
     A second scan of the texts, thinned in the scan by a filter of fixed size; what passes it by
     chance goes in the join.
@@ -289,14 +325,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: i
             batch = batch.filter(pa.array(hit.astype(bool)))
             for _, run in slices(batch.column("text"), SLICE_BYTES):
                 hashes, offsets = shingle_sets(run, shingle)
-                at = points(hashes, offsets)
+                at = pa.FixedSizeListArray.from_arrays(pa.array(points(hashes, offsets).ravel()), GROUPS)
                 data = hashes.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node_names(hashes, offsets)), pa.array(at.tolist(), pa.list_(pa.int32())),
+                    [pa.array(node_names(hashes, offsets)), at.cast(pa.list_(pa.int32())),
+                     pa.array(fine_points(hashes, offsets), pa.binary()),
                      pa.array([data[8 * a:8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
-                    ["node", "point", "hashes"])
+                    ["node", "point", "fine", "hashes"])
+            pa.default_memory_pool().release_unused()
 
-    built = narrow.mapInArrow(build, "node long, point array<int>, hashes binary")
+    built = narrow.mapInArrow(build, "node long, point array<int>, fine binary, hashes binary")
     # One of the rows of a node: they hold the same set.
     return built.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -337,28 +375,31 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, threshold: Fraction, block:
     """Pairs (`a` < `b`) of a cell's members with different `component`s that may link.
 
     Members are (`cell`, `node`, `component`). A cell of more than `block` is cut in blocks, and
-    each pair of blocks is a task's work.
+    each pair of blocks is a task's work. The trees' pairs are bounded once more by finer points, as
+    long texts are all alike in a few groups; what comes out are hardly more pairs than links.
     """
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cell").join(sets.select("node", "point"), "node").withColumn(
+    placed = members.join(sizes, "cell").join(sets.select("node", "point", "fine"), "node").withColumn(
         "mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    work = placed.select("cell", "node", "component", "point", "mine", other.alias("other")).select(
-        "cell", "node", "component", "point", "mine",
+    work = placed.select("cell", "node", "component", "point", "fine", "mine", other.alias("other")).select(
+        "cell", "node", "component", "point", "fine", "mine",
         F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
 
     def search(rows: pa.Table) -> pa.Table:
         node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
         mine, one, two = (rows.column(c).to_numpy() for c in ("mine", "one", "two"))
         x = np.array(rows.column("point").to_pylist(), np.int32).reshape(len(rows), -1)
-        label = np.unique(component, return_inverse=True)[1]
+        label, fine = np.unique(component, return_inverse=True)[1], rows.column("fine").to_pylist()
         here, there = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
         out = [np.zeros((0, 2), np.int64)]
         if len(here) and len(there):
             left, right = RTree(x[here], label[here]), RTree(x[there], label[there])
-            for u, v in left.pairs(right, threshold):
-                pair = np.column_stack([node[here[u]], node[there[v]]])
-                out.append(np.unique(np.sort(pair, axis=1), axis=0))
+            pairs = list(left.pairs(right, threshold))
+            if pairs:
+                u, v = here[np.concatenate([p[0] for p in pairs])], there[np.concatenate([p[1] for p in pairs])]
+                near = may_link_finely(fine, u, v, threshold)
+                out.append(np.sort(np.column_stack([node[u[near]], node[v[near]]]), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
@@ -383,25 +424,26 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(labelled.join(several, "cell", "left_semi").select("cell", "node", "component"))
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    threshold: Fraction = THRESHOLD, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """Per row of `docs`: `doc_id`, `n_shingles`, `component_id`.
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: Fraction, block: int,
+             rounds: int) -> DataFrame:
+    """Per row of `docs`: `id`, `h`, `bytes`, `n`, and `first`, the smallest (id, h, bytes) of its component.
 
-    A component holds what links reach; its id is the smallest `doc_id` in it. Null, empty and
-    wordless texts have no shingles and are alone. Repeated rows come out as often as they go in,
-    and so do rows that share a `doc_id` but not the text, each with its text's component. Rows
-    with a null `doc_id` link with nothing: their component is that of a text equal to theirs, or
-    null. Other columns are not read.
+    `first` is null for rows without shingles, and for rows without an id whose text no other has.
     """
-    kept = stage(_indexed(docs, doc_id, text, shingle, threshold))
-    cells = kept.filter("cells is not null and id is not null").select(F.explode("cells").alias("cell"), "node")
-    shared = cells.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter(
-        "x <> y").select("cell")
+    wide = stage(_indexed(docs, doc_id, text, shingle, threshold))
+    kept = stage(wide.drop("cells"))
+    cells = wide.filter("cells is not null and id is not null").select(F.explode("cells").alias("cell"), "node")
+    # Also true of a set that several tasks have met, which does no harm; a count takes less disk
+    # in the shuffle than two of the nodes would.
+    shared = cells.groupBy("cell").count().filter("count > 1").select("cell")
     members = stage(cells.join(shared, "cell", "left_semi").distinct())
+    # Most cells are of one set only; what is shared is written now.
+    release(wide)
 
-    names = kept.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
+    names = stage(kept.filter("node is not null and id is not null").groupBy("node").agg(
+        F.min(F.struct("id", "h", "bytes")).alias("first")))
     labels = stage(members.select("node").distinct().withColumn("component", F.col("node")))
-    wanted = stage(names.join(labels.select("node"), "node", "left_semi"))
+    wanted = stage(names.select("node", "first.id").join(labels.select("node"), "node", "left_semi"))
     sets = stage(_sets(docs, wanted, doc_id, text, shingle))
 
     tried = None
@@ -415,36 +457,54 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         stars = stage(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
         labels = _merged(labels, stage(_verified(_bounded(stars, sets, threshold), sets, threshold)))
         tried = stars if tried is None else tried.union(stars)
-        mixed = _mixed(members, labels)
+        before, mixed = mixed, _mixed(members, labels)
+        if k:
+            release(before)
         if mixed.isEmpty():
             break
     else:
         # What is left of the links runs across components of one cell.
         rest = _tree_pairs(mixed, sets, threshold, block).join(tried, ["a", "b"], "left_anti")
         labels = _merged(labels, stage(_verified(stage(rest), sets, threshold)))
+    release(members)
+    release(sets)
 
     # The component's smallest document names it.
     named = names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
-    return kept.select("id", "n", "node").join(of_node, "node", "left").select(
+    least = stage(named.groupBy("component").agg(F.min("first").alias("first")))
+    of_node = stage(named.select("node", "component").join(least, "component").select("node", "first"))
+    return kept.join(of_node, "node", "left").select("id", "h", "bytes", "n", "first")
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    threshold: Fraction = THRESHOLD, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """Per row of `docs`: `doc_id`, `n_shingles`, `component_id`.
+
+    A component holds what links reach; its id is the smallest `doc_id` in it. Null, empty and
+    wordless texts have no shingles and are alone. Repeated rows come out as often as they go in,
+    and so do rows that share a `doc_id` but not the text, each with its text's component. Rows
+    with a null `doc_id` link with nothing: their component is that of a text equal to theirs, or
+    null. Ids must be whole numbers. Other columns are not read.
+    """
+    return _classes(docs, doc_id, text, shingle, threshold, block, rounds).select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"))
+        F.coalesce("first.id", "id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                threshold: Fraction = NEAR) -> DataFrame:
     """`docs` with one document of each component, the one with the smallest id; columns as they are.
 
-    Of rows with one `doc_id` one stays; rows with a null `doc_id` all stay.
+    Rows are told apart by id and text: rows that share an id but not the text go only if they are
+    copies of something, and of rows that share both one stays. Rows with a null `doc_id` all stay.
     """
-    classes = jaccard_classes(docs, doc_id, text, shingle, threshold)
-    mark = unused(docs, "dropped")
-    dropped = classes.filter(F.col(doc_id) != F.col("component_id")).select(
-        F.col(doc_id).alias(mark)).distinct()
-    left = docs.join(dropped, docs[doc_id].cast("long") == dropped[mark], "left_anti")
-    with_id = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return with_id.unionByName(left.filter(F.col(doc_id).isNull()))
+    classes = _classes(docs, doc_id, text, shingle, threshold, BLOCK, ROUNDS)
+    key = unused(docs, "row_key")
+    dropped = classes.filter("id is not null and first <> struct(id, h, bytes)").select(
+        F.struct(F.col("id"), F.col("h"), F.col("bytes").alias("n")).alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(F.col(doc_id).cast("long"), F.col(text)))
+    with_id = keyed.filter(F.col(doc_id).isNotNull()).join(dropped, key, "left_anti").dropDuplicates([key])
+    return with_id.unionByName(keyed.filter(F.col(doc_id).isNull())).select(*docs.columns)
 
 
 ORACLE = r"""
