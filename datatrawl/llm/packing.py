@@ -4,13 +4,14 @@ Documents are encoded once, in Arrow functions; what is shuffled is one narrow r
 Pieces are dealt at random over groups of bounded size, and each group is packed by itself: around
 the largest piece left, undominated fillings of the rest of its sequence are enumerated, least
 waste first; a branch whose waste can no longer beat the incumbent is pruned, and the incumbent
-begins as a best-fit packing. A group that meets its lower bound is optimal; over all groups the
-loss is at most about one sequence a group.
+begins as a best-fit packing. A group that meets its lower bound is optimal, and so is one whose
+search ends within its limits; these are parameters, and `search_gap` tells what they may cost.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -23,30 +24,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datatrawl.llm.common import stage
-from datatrawl.llm.tokens import SLICE_BYTES, TOKENIZER, encoder, slices, text_pieces
+from datatrawl.llm.tokens import TOKENIZER, encoder, slices, text_pieces
 
 CAPACITY = 4096      # tokens of a sequence
 END_ID = 1           # ends each document
 GROUP_PIECES = 4096  # pieces that are packed together, on average
-FILL_NODES = 400     # nodes of one enumeration of fillings; the best found until then are kept
-FILLINGS = 3         # branches kept for one sequence
-BRANCH_NODES = 3000  # sequences tried in the search of one group beyond its first descent
+FILL_NODES = 2000    # nodes of one enumeration of fillings; the best found until then are kept
+FIRST_NODES = 400    # nodes of the enumeration for a bin of the first descent
+FILLINGS = 64        # branches kept for one sequence
+SEARCH_NODES = 300_000  # nodes of all enumerations of one group beyond its first descent
+SLICE_BYTES = 8 << 20   # text that is encoded at once
 
 
-def document_ids(texts: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:
-    """The ids of each text (no nulls), in order."""
+def slice_ids(texts: pa.Array, name: str = TOKENIZER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids of runs of `texts` (no nulls): the run's first row, its ids, and where each text's end."""
     enc = encoder(name)
-    for _, run in slices(texts):
+    for at, run in slices(texts, SLICE_BYTES):
         if len(run) == 1 and pc.binary_length(run[0]).as_py() > SLICE_BYTES:
-            yield np.concatenate([
+            ids = np.concatenate([
                 enc.ids(enc.split(pa.array([piece], pa.large_string()))[0])
-                for piece in text_pieces(run[0].as_py())])
+                for piece in text_pieces(run[0].as_py(), SLICE_BYTES)])
+            yield at, ids, np.array([len(ids)])
             continue
         places, offsets = enc.split(run)
-        ids = enc.ids(places)
-        ends = np.concatenate([[0], np.cumsum(enc.sizes(places), dtype=np.int64)])[offsets]
-        for a, b in zip(ends[:-1], ends[1:]):
-            yield ids[a:b]
+        ends = np.concatenate([[0], np.cumsum(enc.sizes(places), dtype=np.int64)])[offsets[1:]]
+        yield at, enc.ids(places), ends
+
+
+def document_ids(texts: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:
+    """The ids of each text (no nulls), in order."""
+    for _, ids, ends in slice_ids(texts, name):
+        yield from np.split(ids, ends[:-1])
+
+
+def cut_places(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece of documents of the given lengths: its document, number and length."""
+    count = -(-lengths // capacity)
+    row = np.repeat(np.arange(len(lengths)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, nth, np.minimum(capacity, lengths[row] - nth * capacity)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
@@ -66,26 +82,23 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
         for batch in batches:
-            rows, nth, starts, lengths, crcs, kept = [], [], [], [], [], []
-            for row, ids in enumerate(document_ids(batch.column("text"), tokenizer)):
-                whole = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(whole), capacity)):
-                    part = whole[at:at + capacity]
-                    rows.append(row)
-                    nth.append(k)
-                    starts.append(at)
-                    lengths.append(len(part))
-                    crcs.append(zlib.crc32(part.tobytes()))
-                    if with_ids:
-                        kept.append(part)
-            columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(nth, pa.int32()),
-                       pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
-                       pa.array(crcs, pa.int64()),
-                       pa.array(range(salt, salt + len(rows)), pa.int64())]
-            if with_ids:
-                columns.append(pa.array([p.astype(np.int64) for p in kept], pa.list_(pa.int64())))
-            salt += len(rows)
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+            for at, ids, ends in slice_ids(batch.column("text"), tokenizer):
+                # Each document's ids and its end, one after another.
+                whole = np.insert(ids, ends, END_ID).astype("<u4")
+                lengths = np.diff(ends, prepend=0) + 1
+                row, nth, size = cut_places(lengths, capacity)
+                begin = (np.cumsum(lengths) - lengths)[row] + nth * capacity
+                data = memoryview(whole).cast("B")
+                crcs = [zlib.crc32(data[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
+                columns = [batch.column("id").take(pa.array(at + row)), pa.array(nth.astype(np.int32)),
+                           pa.array(nth * capacity), pa.array(size), pa.array(crcs, pa.int64()),
+                           pa.array(np.arange(salt, salt + len(row)))]
+                if with_ids:
+                    # Pieces stand in order and without gaps.
+                    offsets = pa.array(np.append(begin, len(whole)).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(whole.astype(np.int64))))
+                salt += len(row)
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return narrow.mapInArrow(cut, T.StructType(fields))
 
@@ -110,26 +123,46 @@ class _Stock:
         self.count[n] += 1
 
 
-def fillings(stock: _Stock, room: int, keep: int = FILLINGS, nodes: int = FILL_NODES) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room` from the stock, least waste first, at most `keep`.
+def _dominated(stock: _Stock, chosen: tuple[int, ...], room: int) -> bool:
+    """Would a larger piece in place of one or two of `chosen` (with `room` left) be no worse?
 
-    Lengths are tried from the largest down, so a filling that one larger piece would dominate
-    comes after it and is kept only if it wastes less. Nothing beats a filling without waste, so
-    the first such ends the enumeration.
+    Then the filling with that piece is looked at too, and the pieces it sets free are easier to place.
+    """
+    sizes, count = stock.sizes, stock.count
+
+    def better(least: int, most: int) -> bool:
+        at = bisect.bisect_left(sizes, least)
+        while at < len(sizes) and sizes[at] <= most:
+            if chosen.count(sizes[at]) < count[sizes[at]]:
+                return True
+            at += 1
+        return False
+
+    if any(better(n + 1, n + room) for n in set(chosen)):
+        return True
+    return any(better(a + b, a + b + room) for a, b in set(itertools.combinations(chosen, 2)))
+
+
+def fillings(stock: _Stock, room: int, keep: int = FILLINGS, nodes: int = FILL_NODES) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated ways to fill `room` from the stock, least waste first, at most `keep`, and the nodes taken.
+
+    Lengths are tried from the largest down. Nothing beats a filling without waste by the largest
+    pieces, so the first such ends the enumeration if no other is kept.
     """
     best: list[tuple[int, int, tuple[int, ...]]] = []
     left = nodes
     sizes, count = stock.sizes, stock.count
 
+    def add(room: int, chosen: tuple[int, ...]) -> None:
+        entry = (room, len(chosen), chosen)
+        if (len(best) < keep or entry < best[-1]) and not _dominated(stock, chosen, room):
+            bisect.insort(best, entry)
+            del best[keep:]
+
     def descend(room: int, top: int, chosen: tuple[int, ...]) -> bool:
+        """Is there a filling without waste, when only one is wanted?"""
         nonlocal left
         at = bisect.bisect_right(sizes, min(room, top)) - 1
-        if at < 0 or (room >= sizes[0] and at == 0 and chosen.count(sizes[0]) >= count[sizes[0]]):
-            entry = (room, len(chosen), chosen)
-            if len(best) < keep or entry < best[-1]:
-                bisect.insort(best, entry)
-                del best[keep:]
-            return room == 0
         tried = False
         while at >= 0 and left > 0:
             n = sizes[at]
@@ -141,15 +174,35 @@ def fillings(stock: _Stock, room: int, keep: int = FILLINGS, nodes: int = FILL_N
             if descend(room - n, n, (*chosen, n)):
                 return True
         if not tried:
-            entry = (room, len(chosen), chosen)
-            if len(best) < keep or entry < best[-1]:
-                bisect.insort(best, entry)
-                del best[keep:]
-            return room == 0
-        return False
+            add(room, chosen)
+        return room == 0 and keep == 1
 
     descend(room, room, ())
-    return [chosen for *_, chosen in best] or [()]
+    return [chosen for *_, chosen in best] or [()], nodes - left
+
+
+def first_filling(stock: _Stock, room: int) -> tuple[tuple[int, ...], int]:
+    """The way of least waste that a short enumeration finds, and the nodes taken."""
+    ways, taken = fillings(stock, room, keep=1, nodes=FIRST_NODES)
+    return ways[0], taken
+
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Bins that any packing takes: by the total, and by pieces that can't share one.
+
+    For each a up to half of a bin: pieces over capacity - a are alone among those of a and more;
+    those over a half have a bin each, with some room for pieces between.
+    """
+    x = np.sort(np.array(lengths, np.int64))
+    total = np.concatenate([[0], np.cumsum(x)])
+    bound = -(-int(total[-1]) // capacity)
+    half = np.searchsorted(x, capacity // 2, "right")       # pieces up to a half come before
+    for a in np.unique(x[:half]):
+        low, alone = np.searchsorted(x, a), np.searchsorted(x, capacity - a, "right")
+        large = len(x) - half
+        room = (alone - half) * capacity - (total[alone] - total[half])
+        bound = max(bound, large + max(0, -(-int(total[half] - total[low] - room) // capacity)))
+    return bound
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -175,30 +228,42 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete(lengths: list[int], capacity: int = CAPACITY, branch_nodes: int = BRANCH_NODES) -> list[list[int]]:
+def complete(lengths: list[int], capacity: int = CAPACITY, search_nodes: int = SEARCH_NODES) -> list[list[int]]:
     """Bins of the given lengths (1 to `capacity`), by bin completion."""
     full = [[n] for n in lengths if n == capacity]
     rest = [n for n in lengths if n < capacity]
     incumbent = best_fit(rest, capacity)
     total = sum(rest)
-    bound = math.ceil(total / capacity)
+    bound = lower_bound(rest, capacity)
+    # A first descent by the best filling of each bin, then the search over all.
+    if len(incumbent) > bound:
+        stock, greedy = _Stock(rest), []
+        while stock.sizes:
+            largest = stock.sizes[-1]
+            stock.take(largest)
+            way, _ = first_filling(stock, capacity - largest)
+            for n in way:
+                stock.take(n)
+            greedy.append([largest, *way])
+        incumbent = min(greedy, incumbent, key=len)
     stock = _Stock(rest)
     path: list[list[int]] = []                       # bins so far
     choices: list[Iterator[tuple[int, ...]]] = []    # what is left to try for each
     wastes = [0]
-    nodes = len(incumbent) + branch_nodes
+    left = search_nodes
 
     def undo() -> None:
         for n in path.pop():
             stock.give(n)
         wastes.pop()
 
-    while len(incumbent) > bound and nodes > 0:
+    while len(incumbent) > bound and left > 0:
         spare = (len(incumbent) - 1) * capacity - total  # waste that a better packing may have
         if stock.sizes and wastes[-1] <= spare:
             largest = stock.sizes[-1]
             stock.take(largest)
-            ways = fillings(stock, capacity - largest)
+            ways, taken = fillings(stock, capacity - largest)
+            left -= taken + 1
             stock.give(largest)
             choices.append(iter([(largest, *way) for way in ways]))
         elif not stock.sizes and len(path) < len(incumbent):
@@ -218,10 +283,21 @@ def complete(lengths: list[int], capacity: int = CAPACITY, branch_nodes: int = B
         path.append(list(way))
         # The last bin's room is no waste that other pieces could have filled.
         wastes.append(wastes[-1] + (capacity - sum(way) if stock.sizes else 0))
-        nodes -= 1
     return full + incumbent
 
 
+def search_gap(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Of packed rows, by group: sequences and the lower bound of its pieces' lengths (one row a group)."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        lengths = rows.column("length").to_pylist()
+        return pa.table({"sequences": [len(set(rows.column("sequence_id").to_pylist()))],
+                         "bound": [lengths.count(capacity) + lower_bound([n for n in lengths if n < capacity], capacity)]})
+
+    grouped = packed.select("length", "sequence_id", F.shiftright("sequence_id", 32).alias("bucket")).groupBy("bucket")
+    return grouped.applyInArrow(one, "sequences long, bound long")
+
+
 def place(lengths: np.ndarray, order: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each piece (from 0) and its offset there; `order` settles ties."""
     of: dict[int, list[int]] = {}

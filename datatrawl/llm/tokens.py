@@ -107,10 +107,12 @@ class WordEncoder:
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """The ids of the words at `places`, one after another."""
-        sizes = self._sizes[places].astype(np.int64)
-        ends = np.cumsum(sizes)
+        sizes = self._sizes[places]
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        return self._ids[np.repeat(self._starts[places] - (ends - sizes), sizes) + np.arange(total)]
+        # A worker keeps far fewer than 2^31 ids, and a slice has fewer too.
+        shift = (self._starts[places] - (ends - sizes)).astype(np.int32)
+        return self._ids[np.repeat(shift, sizes) + np.arange(total, dtype=np.int32)]
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words of `texts`, and where each text's begin and end among them."""

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from datatrawl.llm import packing as P
 from datatrawl.llm import tokens as K
@@ -102,11 +103,38 @@ def test_small_cases_are_optimal(lengths):
     assert len(bins) == fewest(lengths, 30)
 
 
+def test_cases_of_twelve_to_sixteen_are_optimal():
+    assert len(P.complete([21, 52, 34, 27, 22, 24, 23, 42, 55, 27, 35, 35], 100)) == 4
+    rng = random.Random(8)
+    for _ in range(500):
+        lengths = [rng.randint(15, 60) for _ in range(rng.randint(12, 16))]
+        bins = P.complete(lengths, 100)
+        assert sorted(n for b in bins for n in b) == sorted(lengths) and all(sum(b) <= 100 for b in bins)
+        assert len(bins) == P.lower_bound(lengths, 100) or len(bins) == fewest(sorted(lengths, reverse=True), 100), lengths
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=8))
+def test_lower_bound_is_one(lengths):
+    assert P.lower_bound(lengths, 30) <= fewest(lengths, 30)
+
+
+def test_gap_to_the_bounds(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("one"), (F.col("id") % 37).cast("int")), " ").alias("text"))
+    packed = P.packed_sequences(rows, capacity=64)
+    gap = P.search_gap(packed, 64).collect()
+    assert sum(r.sequences for r in gap) == packed.select("sequence_id").distinct().count()
+    assert all(r.bound <= r.sequences <= r.bound + 1 for r in gap)
+
+
 def test_large_groups_are_near_the_bound():
     rng = random.Random(2)
     lengths = [min(4095, max(1, int(rng.lognormvariate(6.4, 1.2)))) for _ in range(4000)]
     assert len(P.complete(lengths)) <= math.ceil(sum(lengths) / 4096) + 1
     assert len(P.complete([1366] * 900)) == 450
+    rng = random.Random(3)
+    lengths = [rng.randint(1000, 2600) for _ in range(4096)]
+    assert P.lower_bound(lengths, 4096) <= len(P.complete(lengths)) < len(P.best_fit(lengths, 4096))
 
 
 def test_text_without_white_space_is_whole(spark, library):
