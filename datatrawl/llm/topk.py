@@ -22,7 +22,8 @@ from datatrawl.llm.common import stage
 SCALE = 256
 QUERY_BLOCK = 2048       # rows of a block, on average
 CANDIDATE_BLOCK = 16384
-LEAF = 64                # points that are compared as one block of products
+LEAF = 512               # points that are compared as one block of products
+NO_ID = np.iinfo(np.int64).max
 SHRINK = 1.6             # a node's radius to that which its children cover
 
 
@@ -58,25 +59,42 @@ class Node:
 
 
 class Best:
-    """The k best candidates of each query so far: higher scores first, ties to smaller ids."""
+    """The k best candidates of each query so far: higher scores first, ties to smaller ids.
+
+    Places that aren't taken yet hold NO_ID and the least score there is.
+    """
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> None:
         self.q, self.ids, self.k = queries, query_ids, k
-        self.scores: list[np.ndarray] = [np.zeros(0, queries.dtype)] * len(queries)
-        self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        self.least = -np.inf if queries.dtype.kind == "f" else np.iinfo(queries.dtype).min
+        self.scores = np.full((len(queries), k), self.least, queries.dtype)
+        self.found = np.full((len(queries), k), NO_ID, np.int64)
         self.worst = np.full(len(queries), -np.inf)
 
     def compare(self, rows: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """All rows at once: what reaches a row's worst score goes through one sort with what it has."""
         product = self.q[rows] @ x.T
-        open_ = (product >= self.worst[rows, None]) & (ids[None, :] != self.ids[rows, None])
-        for i in np.flatnonzero(open_.any(1)):
-            row, which = rows[i], open_[i]
-            scores = np.concatenate([self.scores[row], product[i, which]])
-            found = np.concatenate([self.found[row], ids[which]])
-            best = np.lexsort((found, -scores))[:self.k]
-            self.scores[row], self.found[row] = scores[best], found[best]
-            if len(best) == self.k:
-                self.worst[row] = scores[best[-1]]
+        i, j = np.nonzero((product >= self.worst[rows, None]) & (ids[None, :] != self.ids[rows, None]))
+        if not len(i):
+            return
+        if len(i) > 4 * self.k * len(rows) and product.shape[1] > self.k + 1:
+            # Of many, only those that reach the row's k-th best here (one more for the query itself).
+            kth = np.partition(product, -(self.k + 1), axis=1)[:, -(self.k + 1)]
+            near = product[i, j] >= kth[i]
+            i, j = i[near], j[near]
+        touched = np.unique(i)
+        old = rows[touched]
+        row = np.concatenate([i, np.repeat(touched, self.k)])
+        score = np.concatenate([product[i, j], self.scores[old].ravel()])
+        found = np.concatenate([ids[j], self.found[old].ravel()])
+        # The smallest id of equal scores first; what is not taken comes last.
+        order = np.lexsort((found, -score, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[nth < self.k]
+        self.scores[old] = score[kept].reshape(-1, self.k)
+        self.found[old] = found[kept].reshape(-1, self.k)
+        self.worst[old] = np.where(self.found[old, -1] == NO_ID, -np.inf, self.scores[old, -1])
 
 
 def dual_search(best: Best, queries: Node, x: np.ndarray, ids: np.ndarray, candidates: Node) -> None:
@@ -127,10 +145,9 @@ def search_block(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
                 best.compare(np.arange(len(query_ids)), x[at:at + 4096].astype(np.int64), ids[at:at + 4096])
         else:
             dual_search(best, Node(queries, np.arange(len(query_ids))), x, ids, Node(x, np.arange(len(ids))))
-    sizes = [len(f) for f in best.found]
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pa.table({"query_id": np.repeat(query_ids, sizes), "vec_id": join(best.found, np.int64),
-                     "score": join(best.scores, np.int64)})
+    taken = best.found != NO_ID
+    return pa.table({"query_id": np.repeat(query_ids, taken.sum(1)), "vec_id": best.found[taken],
+                     "score": best.scores[taken].astype(np.int64)})
 
 
 def whole_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

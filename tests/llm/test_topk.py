@@ -45,7 +45,7 @@ def test_few_candidates_and_empty_tables(spark):
 
 
 def test_trees_cover_and_skip():
-    x = np.concatenate([RNG.standard_normal((300, 16)) + 40 * k for k in range(4)])
+    x = np.concatenate([RNG.standard_normal((1300, 16)) + 40 * k for k in range(4)])
     tree = K.Node(x, np.arange(len(x)))
 
     def check(node):
@@ -64,12 +64,12 @@ def test_trees_cover_and_skip():
             seen.append(len(rows) * len(part))
             super().compare(rows, part, ids)
 
-    best = Counting(x[300:340], np.arange(300, 340), 3)
-    K.dual_search(best, K.Node(x[300:340], np.arange(40)), x, np.arange(len(x)), tree)
+    best = Counting(x[1300:1340], np.arange(1300, 1340), 3)
+    K.dual_search(best, K.Node(x[1300:1340], np.arange(40)), x, np.arange(len(x)), tree)
     assert sum(seen) < 40 * len(x)
     for i in range(40):
-        s = x @ x[300 + i]
-        s[300 + i] = -np.inf
+        s = x @ x[1300 + i]
+        s[1300 + i] = -np.inf
         assert best.found[i].tolist() == np.lexsort((np.arange(len(x)), -s))[:3].tolist()
 
 
