@@ -28,7 +28,7 @@ from datatrawl.llm.common import by_share, stage
 from datatrawl.llm.components import components
 
 THRESHOLD = 0.93
-TREES = 8
+TREES = 4
 LEAF = 512        # points of a leaf, about; one of more than twice as many is split again
 LEVELS = 6        # splits of one round
 SAMPLE = 4096     # points of a node, on average, that its cuts are fitted to
