@@ -190,6 +190,22 @@ SELECT doc_id, text || ' Maps were ' || CASE WHEN doc_id % 2 = 0 THEN 'created'
 FROM documents
 """
 
+# Documents that name one organization in several ways.
+FIXTURES["alias_gazetteer"] = """
+SELECT phrase, major_type FROM org_gazetteer
+UNION ALL
+SELECT phrase, 'organization' AS major_type
+FROM (VALUES ('OSU'), ('osu'), ('IMD'), ('Ohio State'), ('Maps and Data')) AS t(phrase)
+"""
+
+FIXTURES["alias_docs"] = """
+SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' By staff of Ohio State University, of OSU, of Ohio State, of Ohio State University Press Council.'
+  WHEN 1 THEN ' See the Institute of Maps and Data Inc; Institute for Maps & Data; IMD, Maps and Data.'
+  WHEN 2 THEN ' From Open Street Union Inc, Ohio State University or OSU.'
+  WHEN 3 THEN ' From Ohio State Council, Ohio State University, Ohio State; osu.' ELSE '' END AS text
+FROM org_docs
+"""
+
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one."""

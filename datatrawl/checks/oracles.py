@@ -207,9 +207,9 @@ _LETTERS = (
     (f"^(?:{_END}){_TAIL}", "T"), (r"^\p{Lu}", "U"), ("^(?:of|for)$", "o"), ("^the$", "t"), ("^(?:and|&)$", "a"))
 
 
-def _orgs_in(docs: str) -> dict[str, str]:
+def _orgs_in(docs: str, gazetteer: str = "org_gazetteer") -> dict[str, str]:
     """Words of a clause as rows, their letters as one string, names cut from it and put back."""
-    steps = _lookup_in(docs, "org_gazetteer")
+    steps = _lookup_in(docs, gazetteer)
     word = r"[\p{L}\p{N}][\p{L}\p{N}&''-]*"
     steps["clauses"] = rf"""SELECT * FROM (
         SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS begun
@@ -406,11 +406,29 @@ _add("format_mentions", ["gazetteer"],
      "SELECT DISTINCT doc_id, text FROM lookups WHERE major_type = 'GISformat'",
      _lookup_in("documents", "gazetteer"))
 _add("organizations", ["org_docs", "org_gazetteer"], "SELECT * FROM orgs", _orgs_in("org_docs"))
-_add("org_aliases", ["org_docs", "org_gazetteer"], r"""SELECT doc_id, org_key, name,
-    first_value(name) OVER (PARTITION BY doc_id, org_key ORDER BY length(name) DESC, name) AS main_name
-  FROM (SELECT DISTINCT doc_id, text AS name, trim(regexp_replace(trim(
-    regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' (?:inc|ltd|corporation)$', '')) AS org_key
-    FROM orgs)""", _orgs_in("org_docs"))
+_ALIASES = {
+    "keyed": rf"""SELECT *, array_to_string(list_filter(string_split(org_key, ' '),
+        lambda w: w NOT IN ('of', 'for', 'the', 'and')), ' ') AS told
+      FROM (SELECT DISTINCT doc_id, text AS name, trim(regexp_replace(trim(
+        regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' (?:{"|".join(fixed.LEGAL_FORMS).lower()})$', '')) AS org_key
+        FROM orgs)""",
+    "alias_names": "SELECT doc_id, name, org_key, CASE WHEN told = '' THEN org_key ELSE told END AS sense FROM keyed",
+    "alias_nodes": "SELECT DISTINCT doc_id, sense, string_split(sense, ' ') AS w FROM alias_names",
+    "heads": """SELECT b.doc_id, b.sense, arg_max(a.sense, len(a.w)) AS head FROM alias_nodes a JOIN alias_nodes b
+        ON a.doc_id = b.doc_id AND len(a.w) >= 2 AND starts_with(b.sense, a.sense || ' ') GROUP BY b.doc_id, b.sense""",
+    "spelled_out": """SELECT doc_id, array_to_string(list_transform(w, lambda x: x[1]), '') AS short, min(sense) AS sense
+      FROM alias_nodes WHERE len(w) >= 3 GROUP BY doc_id, short HAVING count(*) = 1""",
+    "same": """SELECT doc_id, min(sense) AS a, head AS b FROM heads GROUP BY doc_id, head HAVING count(*) = 1
+      UNION ALL SELECT s.doc_id, s.sense, n.sense FROM spelled_out s JOIN alias_names n ON n.doc_id = s.doc_id
+        AND n.org_key = s.short AND starts_with(n.name, upper(n.org_key))""",
+    "classes": """WITH RECURSIVE both_ways AS (SELECT doc_id, a, b FROM same UNION SELECT doc_id, b, a FROM same),
+      reach AS (SELECT doc_id, sense, sense AS other FROM alias_nodes
+        UNION SELECT r.doc_id, r.sense, e.b FROM reach r JOIN both_ways e ON e.doc_id = r.doc_id AND e.a = r.other)
+      SELECT doc_id, sense, min(other) AS class FROM reach GROUP BY doc_id, sense""",
+}
+_add("org_aliases", ["alias_docs", "alias_gazetteer"], """SELECT doc_id, org_key, name,
+    first_value(name) OVER (PARTITION BY doc_id, class ORDER BY length(name) DESC, name) AS main_name
+  FROM alias_names JOIN classes USING (doc_id, sense)""", {**_orgs_in("alias_docs", "alias_gazetteer"), **_ALIASES})
 _add("overlap_join", ["org_docs", "org_gazetteer"], """SELECT s.doc_id, s.start, s."end",
     o.start AS b_start, o."end" AS b_end, o.text AS b_text
   FROM s JOIN orgs o ON o.doc_id = s.doc_id AND s.start < o."end" AND o.start < s."end" """,

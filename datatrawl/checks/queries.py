@@ -16,6 +16,7 @@ from datatrawl.operators import metadata as md
 from datatrawl.operators import status as st
 from datatrawl.operators import text as tx
 from datatrawl.operators import tree as tr
+from datatrawl.operators.aliases import org_aliases as org_aliases_of
 from datatrawl.operators.authors import authors, publisher_orgs, title_orgs
 from datatrawl.operators.overlap import as_b, overlap_join
 from datatrawl.operators.url_filter import build_filter, merge_filters
@@ -262,7 +263,7 @@ def organizations(d: Data) -> DataFrame:
 
 @query
 def org_aliases(d: Data) -> DataFrame:
-    return tx.org_aliases(tx.organizations(d.org_docs, d.org_gazetteer))
+    return org_aliases_of(tx.organizations(d.alias_docs, d.alias_gazetteer))
 
 
 @query

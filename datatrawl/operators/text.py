@@ -245,20 +245,3 @@ def organizations(docs: DataFrame, gazetteer: DataFrame,
         "doc_id", F.coalesce("head_start", "start").alias("start"), "end",
         F.coalesce(F.concat("head", F.lit(" "), "text"), "text").alias("text"))
     return phrases.unionByName(names).distinct()
-
-
-def org_aliases(orgs: DataFrame) -> DataFrame:
-    """Spellings of one organization within a document, with the longest as its main name.
-
-    Spellings are the same if they agree in letters and digits once case and a closing legal
-    form are gone.
-    """
-    names = orgs.select("doc_id", F.col("text").alias("name")).distinct()
-    bare = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " ")
-    key = F.trim(F.regexp_replace(F.trim(bare), r" (?:inc|ltd|corporation)$", ""))
-    keyed = names.withColumn("org_key", key)
-    longest_first = F.struct(-F.length("name"), F.col("name"))
-    mains = keyed.groupBy("doc_id", "org_key").agg(
-        F.min_by("name", longest_first).alias("main_name"))
-    return keyed.join(mains, ["doc_id", "org_key"]).select(
-        "doc_id", "org_key", "name", "main_name")
