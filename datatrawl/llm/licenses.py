@@ -2,10 +2,13 @@
 
 Each licence is one or more templates: a run of words with mandatory key phrases at fixed places.
 The document frequency of every template word is counted over the whole corpus; the rarest words
-of a template (highest IDF) are its anchors. One scan explodes the words of a document and looks
-each up among the anchors; a posting gives the template and the anchor's place in it, and so where
-the template would begin. Postings of one template that agree on the beginning are intersected,
-and the mandatory key phrases are compared word by word. Built-in expressions only.
+(highest IDF) of a template's key phrases are its anchors, so that every place of the key phrases is
+found whatever words the corpus makes rare. The rarest word outside them is a witness, which counts
+for the score alone. One scan explodes the words of a document and looks each up among these; a
+posting gives the template and the word's place in it, and so where the template would begin, which
+may lie before the text. The mandatory key phrases, which must lie inside the text, are compared
+word by word, and the postings of a template that agree on its beginning are put together. Built-in
+expressions only.
 """
 
 from __future__ import annotations
@@ -49,8 +52,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain",
      ("free and unencumbered software",)),
 )
-ANCHORS = 3          # rarest words of a template that are looked up
-LEAST_ANCHORS = 2    # of those, as many must agree on the place of a finer template
+ANCHORS = 3      # rarest words of a template's key phrases that are looked up
+WITNESSES = 1    # and of its other words
 
 
 def _find(phrase: list[str], within: list[str]) -> int:
@@ -83,35 +86,28 @@ def word_frequencies(docs: DataFrame, vocabulary: DataFrame, text: str = "text")
 
 
 def anchor_index(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """The postings: `word`, `template`, `at`, `n_anchors`, `weight` (share of the IDF), and what
-    the template holds. Ties of IDF go to the earlier place."""
+    """The postings: `word`, `template`, `at`, `weight` (share of the IDF), and what the template
+    holds. Ties of IDF go to the earlier place."""
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    places = known.select("*", F.posexplode("w").alias("at", "word"))
+    in_key = F.exists("keys", lambda k: (F.col("at") >= k["at"]) & (F.col("at") < k["at"] + F.size(k["w"])))
+    places = known.select("*", F.posexplode("w").alias("at", "word")).withColumn("in_key", in_key)
     df = word_frequencies(docs, places.select("word").distinct(), text)
     idf = F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0
     scored = places.join(F.broadcast(df), "word").crossJoin(F.broadcast(n_docs)).withColumn("idf", idf)
-    ranked = scored.groupBy("template", "label", "base", "keys").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(
-            F.col("idf").alias("idf"), (-F.col("at")).alias("back"), "word"))), -ANCHORS, ANCHORS)
-        .alias("long"),
-        F.sort_array(F.collect_list(F.struct(
-            F.col("idf").alias("idf"), (-F.col("at")).alias("back"), "word"))).alias("all"))
-    ranked = ranked.withColumn("picked", F.when(F.size("all") <= ANCHORS, F.col("all"))
-                               .otherwise(F.col("long")))
-    total = F.aggregate("picked", F.lit(0.0), lambda acc, p: acc + p["idf"])
-    return ranked.select(
-        "template", "label", "base", "keys", F.size("picked").alias("n_anchors"),
-        total.alias("total"), F.explode("picked").alias("p")
-    ).select("template", "label", "base", "keys", "n_anchors", F.col("p.word").alias("word"),
-             (-F.col("p.back")).alias("at"), (F.col("p.idf") / F.col("total")).alias("weight"))
+    # The templates are fixed in the code, and so is the size of these windows.
+    rarest = Window.partitionBy("template", "in_key").orderBy(F.desc("idf"), "at")
+    picked = scored.withColumn("nth", F.row_number().over(rarest)).filter(
+        F.col("nth") <= F.when(F.col("in_key"), ANCHORS).otherwise(WITNESSES))
+    total = F.sum("idf").over(Window.partitionBy("template"))
+    return picked.select("template", "label", "base", "keys", "word", "at", (F.col("idf") / total).alias("weight"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
          finer=TEMPLATES) -> DataFrame:
     """Per document: `doc_id`, `n_words`, `found`: structs (label, base, start, share), sorted.
 
-    `start` is the template's first word; `share` (0 to 1) the part of its anchors' IDF that stood
-    in place. Null and wordless texts find nothing; repeated rows are returned as often as they
+    `start` is the template's first word, below 0 if the text begins within a finer template;
+    `share` (0 to 1) the part of the IDF of its anchors and witness that stood in place. Null and wordless texts find nothing; repeated rows are returned as often as they
     occur; other columns are not read.
     """
     known = templates(docs.sparkSession, base, finer)
@@ -123,32 +119,31 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
     spread = docs.select(F.col(doc_id).alias("doc"), row_key(F.col(doc_id), F.col(text)).alias("row"),
                          words(F.col(text)).alias("w"))
     spread = spread.select("doc", "row", "w", F.posexplode_outer("w").alias("at", "word"))
-    # At most ANCHORS rows a template, whose number the code fixes.
+    # At most ANCHORS + WITNESSES rows a template, whose number the code fixes.
     met = spread.join(F.broadcast(postings), "word", "left")
     first = F.col("at").isNull() | ((F.col("at") == 0) & (F.coalesce("nth", F.lit(1)) == 1))
     start = F.col("at") - F.col("anchor_at")
     # No lambdas here: they would end the generated loop, and each word would carry the whole text.
-    ok = F.col("template").isNotNull() & (start >= 0)
+    ok = F.col("template").isNotNull()
     for k in range(n_keys):
         key = F.get("keys", F.lit(k))
         here = F.greatest(start + key["at"] + 1, F.lit(1))
-        ok = ok & (F.slice("w", here, F.size(key["w"])) == key["w"])
+        ok = ok & (start + key["at"] >= 0) & (F.slice("w", here, F.size(key["w"])) == key["w"])
     ok = F.coalesce(ok, F.lit(False))
     met = met.filter(first | ok).select(
         "doc", "row", F.size("w").alias("n_words"), first.alias("first"), ok.alias("ok"), "template",
-        "label", "base", "n_anchors", "weight", "anchor_at", start.alias("start"))
+        "label", "base", "weight", "anchor_at", start.alias("start"))
     met = met.select("doc", "row", "n_words", "first", "anchor_at",
                      *[F.when(F.col("ok"), F.col(c)).alias(c)
-                       for c in ("template", "label", "base", "n_anchors", "weight", "start")])
-    places = met.groupBy("doc", "row", "n_words", "template", "label", "base", "n_anchors", "start").agg(
+                       for c in ("template", "label", "base", "weight", "start")])
+    places = met.groupBy("doc", "row", "n_words", "template", "label", "base", "start").agg(
         F.sum(F.col("first").cast("int")).alias("firsts"),
         F.countDistinct("anchor_at").alias("agreeing"),
         F.sum("weight").alias("weight_sum"), F.count("*").alias("rows"))
     # Repeated rows of a document meet in one group: each anchor then counts as often.
     share = F.least(F.lit(1.0), F.col("weight_sum") * F.col("agreeing") / F.col("rows"))
-    needed = F.when(F.col("base"), F.col("n_anchors")).otherwise(
-        F.least(F.col("n_anchors"), F.lit(LEAST_ANCHORS)))
-    found = F.when(F.col("agreeing") >= needed, F.struct(
+    # Where the key phrases stand, all their anchors do.
+    found = F.when(F.col("template").isNotNull(), F.struct(
         "label", "base", F.col("start").cast("long").alias("start"), share.alias("share")))
     merged = places.groupBy("doc", "row", "n_words").agg(
         F.sum("firsts").cast("int").alias("copies"),
