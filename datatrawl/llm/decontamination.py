@@ -4,7 +4,8 @@ A broadcast hash set of normalised word n-grams of the benchmark is probed by ev
 every document; a hit is verified word by word. Built-in expressions only: one scan explodes the
 words of a document, hashes the window that begins at each, and joins, all in one generated loop,
 so that no window is ever built as a string or shuffled. Only hits and one row for each document
-reach the exchange.
+reach the exchange. The ids of a window's items stay out of the broadcast, however many they are: a
+hit carries the window's number, and documents with hits are joined with the items of their windows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datatrawl.llm.common import row_key, unused, words
+from datatrawl.llm.common import row_key, stage, unused, words
 
 WINDOW = 10
-# Windows that one broadcast may hold (some hundred bytes each). A larger benchmark is cut by hash
-# in as many slices as it takes, each probed by a scan of its own.
+# Windows, and bytes of their words, that one broadcast holds about. A larger benchmark is cut by
+# hash in as many slices as it takes, each probed by a scan of its own.
 BROADCAST_WINDOWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id",
@@ -51,7 +53,7 @@ def _key(parts: list[Column]) -> Column:
 
 def _probe(docs: DataFrame, grams: DataFrame, sizes: list[int], doc_id: str, text: str,
            window: int) -> DataFrame:
-    """A row for each hit (`at`, `end`, `items`) and one without hit for each document's start."""
+    """A row for each hit (`span`, `gram_id`) and one without hit for each document's start."""
     spread = docs.select(F.col(doc_id).alias("doc"), row_key(F.col(doc_id), F.col(text)).alias("row"),
                          words(F.col(text)).alias("w"))
     spread = spread.select("doc", "row", "w", F.posexplode_outer("w").alias("at", "word"))
@@ -74,23 +76,28 @@ def _probe(docs: DataFrame, grams: DataFrame, sizes: list[int], doc_id: str, tex
         "doc", "row", F.size("w").alias("n_words"), first.alias("first"),
         F.when(F.col("gram").isNotNull(),
                F.struct(F.col("at"), (F.col("at") + F.col("size")).alias("end"))).alias("span"),
-        "items")
+        "gram_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                  broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: `doc_id`, `n_words`, `n_hit`, `items` (sorted ids as text), `spans`.
 
     `spans` are the occurring windows as word ranges, sorted, overlaps kept. A null or wordless
     document gives zeros and empty lists; a repeated row is returned as often as it occurs; an
     empty benchmark hits nothing. Other columns of `docs` are not read.
     """
-    grams = item_windows(items, window, item_id, item_text)
-    # At most `window` sizes, and the number of windows of each.
-    counts = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    sizes = sorted(counts) or [window]
-    slices = max(1, math.ceil(sum(counts.values()) / broadcast_windows))
+    # The numbers hold once they are written.
+    numbered = stage(item_windows(items, window, item_id, item_text).withColumn(
+        "gram_id", F.monotonically_increasing_id()))
+    grams = numbered.drop("items")
+    # At most `window` sizes, and the number of windows and bytes of each.
+    counts = grams.groupBy("size").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("gram", ""))).alias("bytes")).collect()
+    sizes = sorted(r["size"] for r in counts) or [window]
+    slices = max(1, math.ceil(sum(r["n"] for r in counts) / broadcast_windows),
+                 math.ceil(sum(r["bytes"] for r in counts) / broadcast_bytes))
     probed = None
     for part in range(slices):
         held = grams.filter(F.pmod("key", F.lit(slices)) == part) if slices > 1 else grams
@@ -99,12 +106,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
             one = one.withColumn("first", F.lit(False))
         probed = one if probed is None else probed.union(one)
 
-    merged = probed.groupBy("doc", "row").agg(
+    # Written, as both the documents and the windows they hold are read from it.
+    merged = stage(probed.groupBy("doc", "row").agg(
         F.first("n_words").alias("n_words"),
         F.sum(F.col("first").cast("int")).alias("copies"),
         F.sort_array(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+        F.collect_set("gram_id").alias("grams"),
+    ))
+    held = merged.select("row", F.explode("grams").alias("gram_id")).join(
+        numbered.select("gram_id", "items"), "gram_id").groupBy(F.col("row").alias("held_row")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("held_items"))
+    merged = merged.join(held, F.col("row").eqNullSafe(F.col("held_row")), "left").withColumn(
+        "items", F.coalesce("held_items", F.array().cast("array<string>")))
     # Spans are sorted by their starts: each adds what lies beyond the furthest end so far.
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(

@@ -37,14 +37,23 @@ def case(spark):
     return rows, items, odd.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("held", [D.BROADCAST_WINDOWS, 7])
-def test_hits_as_by_brute_force(case, held):
+@pytest.mark.parametrize("held, size", [(D.BROADCAST_WINDOWS, D.BROADCAST_BYTES), (7, D.BROADCAST_BYTES),
+                                        (D.BROADCAST_WINDOWS, 100)])
+def test_hits_as_by_brute_force(case, held, size):
     rows, items, docs, bench = case
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"])
-                 for r in D.contamination(docs, bench, broadcast_windows=held).collect())
+                 for r in D.contamination(docs, bench, broadcast_windows=held, broadcast_bytes=size).collect())
     assert got == sorted((str(d), *brute(t, items)) for d, t in rows)
 
 
+def test_item_ids_are_not_broadcast(case):
+    """A window of all items would else make a row that grows with the benchmark."""
+    _, _, docs, bench = case
+    grams = D.item_windows(bench).withColumn("gram_id", D.F.lit(1)).drop("items")
+    plan = D._probe(docs, grams, [10], "doc_id", "text", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "items#" not in plan and "collect_set" not in plan
+
+
 def test_contaminated_documents_go_and_others_stay(case):
     rows, items, docs, bench = case
     kept = D.remove_contaminated(docs, bench)
