@@ -78,3 +78,14 @@ def test_attributes(spark):
         return lambda: df.select(F.size(attribute_map(F.col("tag")))).collect()
 
     assert grows_in_proportion(run_of, 50_000)
+
+
+def test_roots_cost_little_beside_the_words_themselves(spark):
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(0, 2_000, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(word, F.lit("ings"))), " ").alias("text"))
+    lemmas = spark.createDataFrame([("created", "create")], "form string, root string")
+    count = lambda df: seconds(lambda: df.agg(*(F.max(c) for c in df.columns)).collect())
+    words = count(tx.tokens(docs))
+    roots = count(tx.token_roots(tx.tokens(docs), lemmas))
+    assert roots <= 3 * words + 2

@@ -111,6 +111,22 @@ def test_roots_by_rules(spark):
     assert {r.token: r.root for r in tx.token_roots(tokens, lemmas).collect()} == forms
 
 
+def test_roots_as_a_plain_loop_over_the_rules_gives_them(spark):
+    def by_loop(word):
+        for ending in sorted(fixed.ROOT_RULES, key=len, reverse=True):
+            root = word.lower().removesuffix(ending) + fixed.ROOT_RULES[ending]
+            if word.lower().endswith(ending) and len(root) >= fixed.ROOT_LETTERS and re.search("[aeiouy]", root):
+                return root
+        return word
+
+    stems = ["", "a", "s", "st", "xyl", "bcd", "crea", "mapp", "Stu", "TH", "é", "a1"]
+    forms = {a + b for a in stems for b in [*fixed.ROOT_RULES, "ING", "Ches", "edx"]}
+    tokens = spark.createDataFrame([(f,) for f in forms], "token string")
+    none = spark.createDataFrame([], "form string, root string")
+    want = {f: by_loop(f) if re.fullmatch("[A-Za-z]+", f) else f for f in forms}
+    assert {r.token: r.root for r in tx.token_roots(tokens, none).collect()} == want
+
+
 def test_no_phrases_no_hits(spark):
     empty = spark.createDataFrame([], "phrase string, major_type string")
     assert tx.gazetteer_lookup(docs(spark, "a b"), empty).count() == 0
