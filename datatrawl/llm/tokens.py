@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 TOKENIZER = "word_bpe_49k.json"
 SLICE_BYTES = 4 << 20    # text that is encoded at once
-KEPT_WORDS = 1_000_000   # words a worker remembers; beyond, it starts anew
+KEPT_WORDS = 1_000_000   # words a worker remembers; beyond, it keeps those met in several slices
+CALL_WORDS = 4096        # words of one call of the library, whose results are large
 
 # A word that ends in ASCII punctuation after a letter: the tokenizer cuts there. Not with "<",
 # which may begin a special token, nor with an apostrophe, which may begin a contraction.
@@ -52,22 +53,33 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self._kept = kept
-        self._forget()
+        self._start()
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         self._at: dict[str, int] = {}
         self._n = 0
         self._used = 0
         self._starts = np.zeros(1 << 12, np.int64)
         self._sizes = np.zeros(1 << 12, np.int32)
+        self._again = np.zeros(1 << 12, bool)
         self._ids = np.zeros(1 << 14, np.uint32)
 
+    def _forget(self) -> None:
+        """Drop the words met in one slice only; if that leaves more than half of the bound, all."""
+        words = [w for w, k in self._at.items() if self._again[k]]
+        if len(words) > self._kept // 2:
+            words = []
+        ids = [self._ids[(s := self._starts[k := self._at[w]]):s + self._sizes[k]].tolist() for w in words]
+        self._start()
+        self._add(words, ids)
+
     def _add(self, words: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
         while self._n + len(words) > len(self._starts):
             self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
             self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
+            self._again = np.concatenate([self._again, np.zeros_like(self._again)])
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         here = slice(self._n, self._n + len(words))
@@ -87,20 +99,25 @@ class WordEncoder:
         whole = {w for w in words if w not in cut}
         parts = {p for pair in cut.values() for p in pair} | whole
         new = [p for p in parts if p not in self._at]
-        self._add(new, self._encode(new))
+        for k in range(0, len(new), CALL_WORDS):
+            self._add(new[k:k + CALL_WORDS], self._encode(new[k:k + CALL_WORDS]))
         ids = lambda p: self._ids[(s := self._starts[k := self._at[p]]):s + self._sizes[k]].tolist()
         ends = {b: ids(b) for b in {b for _, b in cut.values()}}
         rest = [w for w in cut if w not in self._at]
-        self._add(rest, [ids(cut[w][0]) + ends[cut[w][1]] for w in rest])
+        for k in range(0, len(rest), CALL_WORDS):
+            self._add(rest[k:k + CALL_WORDS], [ids(cut[w][0]) + ends[cut[w][1]] for w in rest[k:k + CALL_WORDS]])
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """The place of each word; places hold until the next call."""
         if self._n > self._kept:
             self._forget()
+        known = self._n
         new = [w for w in words if w not in self._at]
         if new:
             self._learn(new)
-        return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        self._again[places[places < known]] = True
+        return places
 
     def sizes(self, places: np.ndarray) -> np.ndarray:
         return self._sizes[places]

@@ -49,6 +49,27 @@ def test_forgetting_words_changes_nothing(library):
         assert enc.ids(places).tolist() == ids_of(library, text)
 
 
+def test_words_of_one_slice_only_are_forgotten(library):
+    enc, library_calls = K.WordEncoder(kept=200), []
+    encode = enc._encode
+    enc._encode = lambda words: library_calls.append(words) or encode(words)
+    for i in range(20):
+        text = " ".join(["common", "words", *(f"x{i}y{j}" for j in range(50))])
+        places, _ = enc.split(pa.array([text]))
+        assert enc.ids(places).tolist() == ids_of(library, text)
+        assert enc._n <= 300
+    assert sum("common" in words for words in library_calls) == 1
+
+
+def test_the_library_is_called_with_few_words_at_a_time(library):
+    enc, sizes = K.WordEncoder(), []
+    encode = enc._encode
+    enc._encode = lambda words: sizes.append(len(words)) or encode(words)
+    text = " ".join(f"v{i}" for i in range(3 * K.CALL_WORDS))
+    places, _ = enc.split(pa.array([text]))
+    assert max(sizes) <= K.CALL_WORDS and enc.ids(places).tolist() == ids_of(library, text)
+
+
 def test_count_query(spark, library):
     got = sorted(map(str, map(tuple, K.token_counts(odd.documents(spark, odd.ROWS)).collect())))
     want = [(d, len((t or "").encode()), n := len(ids_of(library, t)), n > 2048) for d, t in odd.ROWS]
