@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from datatrawl import fixed
+from datatrawl.functions import text as fx
 from datatrawl.operators import text as tx
 from datatrawl.operators.authors import publisher_orgs
 from datatrawl.operators.overlap import overlap_join
@@ -26,6 +29,31 @@ def test_tokens_against_a_plain_scan(spark):
     assert got == want
 
 
+def test_pieces_lie_end_to_end_and_words_are_what_java_takes_for_them(spark):
+    all_texts = texts() + ["a\U0001d7d8\u0378b \u2167 \u0300c", "x" * 700 + " y " * 400, None]
+    blocks = fx.text_blocks(docs(spark, *all_texts), fx.WORD_BLOCKS)
+    rows = sorted(fx.word_rows(blocks).collect(), key=lambda r: (r.doc_id, r.start))
+    pattern = rf"({fx.WORD_PIECES})"
+    plain = docs(spark, *all_texts).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)))
+    want = {}
+    for i, piece in plain.collect():
+        want.setdefault(i, []).append(piece)
+    assert {i: [r.piece for r in rows if r.doc_id == i] for i in want} == want
+    for i, pieces in want.items():
+        at = 0
+        for r in (r for r in rows if r.doc_id == i):
+            assert (r.begin, r.end) == (at, at + len(r.piece))
+            assert r.piece.endswith(r.word) and r.start == r.end - len(r.word)
+            assert all_texts[i][r.start:r.end] == r.word
+            at = r.end
+
+
+def test_words_are_cut_on_arrays(spark):
+    """Only blocks are cut by an expression; each word cost several that Spark interprets."""
+    plan = tx.tokens(docs(spark, "a b"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("regexp_extract_all") == 1
+
+
 def plain_sentences(text):
     """Goes over the stops one by one and asks of each whether it ends the sentence."""
     out, begin, i = [], 0, 0
