@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from datatrawl.llm.common import stage
@@ -34,9 +34,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     now = stage(edges.filter("a <> b").select("a", "b").distinct())
     before = None
     for _ in range(most_rounds):
-        now = stage(_star(_star(now, True), False))
-        # Stars round their smallest nodes stay as they are; a sum of hashes tells.
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+        # Stars round their smallest nodes stay as they are; a sum of hashes, taken while they are written, tells.
+        seen = Observation()
+        now = stage(_star(_star(now, True), False).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")))
+        state = seen.get
         if state == before:
             break
         before = state
