@@ -293,3 +293,30 @@ def test_publishers_need_the_effective_root(spark):
     assert {r.author for r in publisher_orgs(sents, rooted, orgs).collect()} == {"C D Inc"}
     both = publisher_orgs(sents, rooted, orgs, roots=("create", "publish")).collect()
     assert {r.author for r in both} == {"C D Inc", "E F Inc"}
+
+
+def test_only_wanted_roots_are_looked_for(spark):
+    forms = ["created", "Creates", "CREATING", "created", "create", "Create", "creator", "made", "mades", "plans", "planned", "plan", "is"]
+    lemmas = spark.createDataFrame([("creates", "make"), ("made", "create"), ("plan", None)], "form string, root string")
+    d = docs(spark, " ".join(forms))
+    for wanted in (("create",), ("create", "plan", "Create"), ("make", "i"), ()):
+        all_roots = tx.token_roots(tx.tokens(d), lemmas).filter(F.col("root").isin(list(wanted)))
+        got = tx.token_roots(tx.tokens(d), lemmas, wanted)
+        assert sorted(got.collect()) == sorted(all_roots.collect()), wanted
+    assert set(fx.forms_by_rules(["plan"])) >= {"plans", "planned", "planning"}
+
+
+def test_names_are_sought_in_telling_blocks_only(spark):
+    """Long clauses, and texts without any mark between clauses, are cut no differently."""
+    rng = random.Random(4)
+    parts = ["Ohio State University", "Acme Data Inc", "land of", "& Sons Ltd", "x-ray's", "and", "the Sea"]
+    made = [rng.choice([". ", ", ", " (", "\n", "-", " & "]).join(" ".join(rng.choices(parts, k=k)) for k in rng.choices([1, 2, 60], k=20))
+            for _ in range(20)] + ["word " * 700 + "Acme Inc", "Inc" * 400, "- " * 900 + "Rio Bank Ltd" + " -" * 900, None]
+    rows = tx.grammar_organizations(docs(spark, *made)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.start, r.text))
+    assert {i: sorted(v) for i, v in got.items()} == {i: n for i, t in enumerate(made) if t and (n := plain_names(t))}
+    # Before, the clauses of a whole text were cut if one name stood in it.
+    blocks = fx.text_blocks(docs(spark, "Acme Inc. " + "No name in here, as it is. " * 400), tx.CLAUSE_BLOCKS)
+    assert blocks.count() > 20
