@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datatrawl.session import stage
 
 __all__ = [
-    "ascii_lower", "by_share", "held_out", "labelled_sample", "read_table", "release", "row_key", "stage", "unused", "words"]
+    "ascii_lower", "by_share", "give_back", "held_out", "labelled_sample", "read_table", "release", "row_key", "stage", "unused", "words"]
 
 # What separates words once A-Z are lower case: ASCII other than 0-9 and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,6 +52,17 @@ def by_share(key: Column, share: Column | float) -> Column:
     return F.pmod(key, F.lit(1 << 40)) < share * F.lit(float(1 << 40))
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system.
+
+    Python workers live on behind their task; what they hold then is missing to the next one.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

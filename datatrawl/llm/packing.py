@@ -14,7 +14,7 @@ import bisect
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datatrawl.llm.common import stage
+from datatrawl.llm.common import give_back, stage
 from datatrawl.llm.tokens import TOKENIZER, encoder, slices, text_pieces
 
 CAPACITY = 4096      # tokens of a sequence
@@ -79,26 +79,32 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
+    def cut_batch(batch: pa.RecordBatch, salt: int) -> Generator[pa.RecordBatch, None, int]:
+        for at, ids, ends in slice_ids(batch.column("text"), tokenizer):
+            # Each document's ids and its end, one after another.
+            whole = np.insert(ids, ends, END_ID).astype("<u4")
+            lengths = np.diff(ends, prepend=0) + 1
+            row, nth, size = cut_places(lengths, capacity)
+            begin = (np.cumsum(lengths) - lengths)[row] + nth * capacity
+            data = memoryview(whole).cast("B")
+            crcs = [zlib.crc32(data[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
+            columns = [batch.column("id").take(pa.array(at + row)), pa.array(nth.astype(np.int32)),
+                       pa.array(nth * capacity), pa.array(size), pa.array(crcs, pa.int64()),
+                       pa.array(np.arange(salt, salt + len(row)))]
+            if with_ids:
+                # Pieces stand in order and without gaps.
+                offsets = pa.array(np.append(begin, len(whole)).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(whole.astype(np.int64))))
+            salt += len(row)
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        return salt
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
         for batch in batches:
-            for at, ids, ends in slice_ids(batch.column("text"), tokenizer):
-                # Each document's ids and its end, one after another.
-                whole = np.insert(ids, ends, END_ID).astype("<u4")
-                lengths = np.diff(ends, prepend=0) + 1
-                row, nth, size = cut_places(lengths, capacity)
-                begin = (np.cumsum(lengths) - lengths)[row] + nth * capacity
-                data = memoryview(whole).cast("B")
-                crcs = [zlib.crc32(data[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
-                columns = [batch.column("id").take(pa.array(at + row)), pa.array(nth.astype(np.int32)),
-                           pa.array(nth * capacity), pa.array(size), pa.array(crcs, pa.int64()),
-                           pa.array(np.arange(salt, salt + len(row)))]
-                if with_ids:
-                    # Pieces stand in order and without gaps.
-                    offsets = pa.array(np.append(begin, len(whole)).astype(np.int32))
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(whole.astype(np.int64))))
-                salt += len(row)
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+            salt = yield from cut_batch(batch, salt)
+            del batch
+            give_back()
 
     return narrow.mapInArrow(cut, T.StructType(fields))
 

@@ -162,3 +162,18 @@ def test_text_without_white_space_is_whole(spark, library):
     text = "é" * 5000
     assert list(K.text_pieces(text, 100)) == [text]
     assert K.count_batch(pa.array([text]), limit=100).tolist() == [len(ids_of(library, text))]
+
+
+def test_memory_of_a_batch_is_given_back_behind_it(spark, monkeypatch):
+    """Once for each batch of a task, when its texts and ids are gone."""
+    given = []
+    monkeypatch.setattr(P, "give_back", lambda: given.append(pa.total_allocated_bytes()))
+    docs = spark.createDataFrame([(i, "some words here") for i in range(3)], "doc_id long, text string")
+    held = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: held.setdefault("cut", f) and self)
+    P.pieces(docs)
+    before = pa.total_allocated_bytes()
+    batches = (pa.RecordBatch.from_pydict({"id": [i], "text": ["some words " * 10_000]}) for i in range(4))
+    rows = sum(len(b) for b in held["cut"](batches))
+    assert rows >= 4 and len(given) == 4
+    assert max(given) < before + 300_000
