@@ -23,11 +23,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datatrawl.llm.common import release, row_key, stage, unused
+from datatrawl.llm.common import give_back, release, row_key, stage, unused
 from datatrawl.llm.components import components
 from datatrawl.llm.tokens import slices
 
@@ -284,7 +284,7 @@ def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: F
                     [ids, *same, pa.array(sizes), pa.array(nodes, mask=sizes == 0),
                      pa.array(cells, pa.list_(pa.int64()))], ["id", "h", "bytes", "n", "node", "cells"])
             # A worker shares its machine with the executor's own memory.
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return narrow.mapInArrow(index, "id long, h long, bytes int, n long, node long, cells array<long>")
 
@@ -332,7 +332,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: i
                      pa.array(fine_points(hashes, offsets), pa.binary()),
                      pa.array([data[8 * a:8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
                     ["node", "point", "fine", "hashes"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     built = narrow.mapInArrow(build, "node long, point array<int>, fine binary, hashes binary")
     # One of the rows of a node: they hold the same set.
@@ -406,6 +406,19 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, threshold: Fraction, block:
     return work.groupBy("cell", "one", "two").applyInArrow(search, "a long, b long").distinct()
 
 
+def _shared(cells: DataFrame) -> DataFrame:
+    """The distinct rows of `cells` (`cell`, `node`) whose cell holds several nodes.
+
+    Cells are by far the largest table here, and nearly all of them are of one node. So they are
+    dealt and sorted once, and no map of them is kept: counts by cell, joined to the cells, would
+    take them twice. A cell has a node once for each task that met it at most, and a text of some
+    length has hundreds of cells, so a cell of very many nodes is still a small part of them.
+    """
+    same = Window.partitionBy("cell")
+    return cells.select("cell", "node", F.min("node").over(same).alias("x"), F.max("node").over(same).alias("y")).filter(
+        "x <> y").select("cell", "node").distinct()
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` (`node`, `component`) after components have been joined by `links` (`a`, `b`)."""
     of = lambda c, d: labels.select(F.col("node").alias(c), F.col("component").alias(d))
@@ -433,10 +446,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: F
     wide = stage(_indexed(docs, doc_id, text, shingle, threshold))
     kept = stage(wide.drop("cells"))
     cells = wide.filter("cells is not null and id is not null").select(F.explode("cells").alias("cell"), "node")
-    # Also true of a set that several tasks have met, which does no harm; a count takes less disk
-    # in the shuffle than two of the nodes would.
-    shared = cells.groupBy("cell").count().filter("count > 1").select("cell")
-    members = stage(cells.join(shared, "cell", "left_semi").distinct())
+    members = stage(_shared(cells))
     # Most cells are of one set only; what is shared is written now.
     release(wide)
 

@@ -172,3 +172,24 @@ def test_a_round_of_components_is_one_write(spark, monkeypatch):
             m.setattr(type(edges), action, lambda *_: 1 / 0)
         found = components(edges)
     assert {r.component for r in found.collect()} == {0}
+
+
+def test_cells_are_dealt_once(spark, monkeypatch):
+    """The table of all cells, the largest by far, is shuffled and sorted once, and no map of it is kept."""
+    plans, stage = [], J.stage
+
+    def seen(df):
+        if df.columns == ["cell", "node"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(J, "stage", seen)
+    docs = spark.createDataFrame(near_copies(6, 60, 8, 3, 0) + chain(4, 80, 3, 100), "doc_id long, text string")
+    assert len({r.component_id for r in J.jaccard_classes(docs).collect()}) < 12
+    assert plans and plans[0].count("Exchange hashpartitioning") == 1 and "Join" not in plans[0]
+
+
+def test_shared_cells(spark):
+    # Cell 1 holds two nodes, one of them met by two tasks; cell 2 one node, met twice; cell 3 one.
+    cells = spark.createDataFrame([(1, 10), (1, 11), (1, 10), (2, 12), (2, 12), (3, -13)], "cell long, node long")
+    assert sorted(map(tuple, J._shared(cells).collect())) == [(1, 10), (1, 11)]
