@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from datatrawl.llm.common import give_back, release, row_key, stage, unused
 from datatrawl.llm.components import components
-from datatrawl.llm.tokens import slices
+from datatrawl.llm.tokens import drop_encoders, slices
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
@@ -265,6 +265,7 @@ def _indexed(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: F
         F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         seen: set[int] = set()
         for batch in batches:
             for at, run in slices(batch.column("text"), SLICE_BYTES):
@@ -319,6 +320,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: i
         "id is not null and text is not null").select("id", place.alias("place"), "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             place = batch.column("place").to_numpy()
             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from datatrawl.llm.bytenet import (
     ByteNet, Shape, arrow_bytes, repeat_flags, spread_windows, text_windows, to_rows)
-from datatrawl.llm.common import held_out, labelled_sample
-from datatrawl.llm.tokens import slices
+from datatrawl.llm.common import give_back, held_out, labelled_sample
+from datatrawl.llm.tokens import drop_encoders, kept_rows, slices
 
 FOLDS, HELD_OUT = 3, 1
 SHAPE = Shape(window=512, widths=(2, 3, 5), filters=12, stride=2, flags=1)
@@ -127,9 +127,11 @@ def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", least: f
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
-            texts = batch.column(place)
-            good = model.score(texts.fill_null("")) >= least
-            yield batch.filter(pa.array(good))
+            texts = batch.column(place).fill_null("")
+            yield from kept_rows(batch, texts, model.score(texts) >= least)
+            del batch, texts
+            give_back()
 
     return docs.mapInArrow(run, schema)

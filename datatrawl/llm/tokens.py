@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datatrawl.llm.common import give_back
+
 TOKENIZER = "word_bpe_49k.json"
 SLICE_BYTES = 4 << 20    # text that is encoded at once
 KEPT_WORDS = 1_000_000   # words a worker remembers; beyond, it keeps those met in several slices
@@ -147,6 +149,13 @@ def encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
 
 
+def drop_encoders() -> None:
+    """Give back what encoders keep: for tasks without one, as workers live on behind those that had it."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()
+
+
 def text_pieces(text: str, limit: int = SLICE_BYTES) -> Iterator[str]:
     """`text` in pieces of about `limit` characters, cut at white space; whole if it has none."""
     at = 0
@@ -175,6 +184,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         yield at, texts.slice(at)
 
 
+def kept_rows(batch: pa.RecordBatch, texts: pa.Array, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` that `keep` names, in runs of about SLICE_BYTES of their `texts` (no nulls).
+
+    In one piece they would be a second batch here, and a third where Spark reads them.
+    """
+    for at, run in slices(texts):
+        yield batch.slice(at, len(run)).filter(pa.array(keep[at:at + len(run)], pa.bool_()))
+
+
 def count_batch(texts: pa.Array, name: str = TOKENIZER, limit: int = SLICE_BYTES) -> np.ndarray:
     """Tokens of each text (no nulls)."""
     enc = encoder(name)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datatrawl.llm import transducers as W
-from datatrawl.llm.common import held_out, labelled_sample
+from datatrawl.llm.common import give_back, held_out, labelled_sample
+from datatrawl.llm.tokens import drop_encoders, kept_rows
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 3000     # labelled documents of each label that stems are learned from, about
@@ -311,8 +312,11 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", most:
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             texts = batch.column(place).fill_null("")
-            yield batch.filter(pa.array([model.weigh(t.as_py())[0] < most for t in texts], pa.bool_()))
+            yield from kept_rows(batch, texts, np.array([model.weigh(t.as_py())[0] < most for t in texts], bool))
+            del batch, texts
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,8 @@
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as C
+from datatrawl.llm import tokens
 from datatrawl.llm.common import read_table
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_jaccard import brute as classes
@@ -35,3 +39,15 @@ def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_filters_yield_small_runs_and_drop_encoders():
+    tokens.encoder(tokens.TOKENIZER)
+    size = 3 * tokens.SLICE_BYTES // 4
+    texts = pa.array(["a" * size, "", "b" * size, "c", "d" * size])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), texts], ["doc_id", "text"])
+    runs = list(tokens.kept_rows(batch, texts, np.array([True, True, False, True, True])))
+    assert [r.column("doc_id").to_pylist() for r in runs] == [[0, 1], [3], [4]]
+    assert max(r.nbytes for r in runs) < tokens.SLICE_BYTES
+    tokens.drop_encoders()
+    assert tokens.encoder.cache_info().currsize == 0
