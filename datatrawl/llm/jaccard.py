@@ -369,6 +369,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
                 overlap = int((merged[1:] == merged[:-1]).sum())
                 good.append(overlap * den >= (len(merged) - overlap) * num)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            del batch
+            give_back()
 
     return both.mapInArrow(verify, "a long, b long")
 
@@ -403,6 +405,10 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, threshold: Fraction, block:
                 near = may_link_finely(fine, u, v, threshold)
                 out.append(np.sort(np.column_stack([node[u[near]], node[v[near]]]), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
+        if len(node) >= block // 2:
+            # What a large search took is not held while others run.
+            del out, x, fine, rows
+            give_back()
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return work.groupBy("cell", "one", "two").applyInArrow(search, "a long, b long").distinct()
